@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup
+from . import exact_dedup, sentencepiece_bpe
 from .common import table
 
 
@@ -13,7 +15,27 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+def piece_model() -> str:
+    """The vocabulary file: TIDEMARK_PIECE_MODEL, else the one installed beside the tokenizer libraries."""
+    if not (path := os.environ.get("TIDEMARK_PIECE_MODEL")):
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return path
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    return both.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
 
 ORACLES = {
     "op6_exact_dedup": r"""
