@@ -6,10 +6,26 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, sentencepiece_bpe
+from . import exact_dedup, sentencepiece_bpe, tiff
 from .common import table
 
 
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.encode_texts(table(spark, sf_dir, "documents"), predictor=tiff.HORIZONTAL)
+    files = files.select("id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    found = tiff.decode_pages(files, keep=("id", "n_bytes", "media_bytes", "media_sha256"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.length("raster").cast("long").alias("payload_bytes"),
+        F.sha2("raster", 256).alias("payload_sha256"),
+        F.crc32(F.substring("raster", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.format_string("%dx%dx%d:%d:%d:%s%d:%.6f:%.6f", "width", "height", "samples", "compression", "predictor", "layout", "parts", "mean", "deviation").alias("feature"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -35,7 +51,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {
+    "op4_tiff_pages": op4_tiff_pages,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
+}
 
 ORACLES = {
     "op6_exact_dedup": r"""
