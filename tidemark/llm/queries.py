@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, sentencepiece_bpe, tiff
+from . import exact_dedup, mixing, sentencepiece_bpe, tiff
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "shard")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -53,6 +57,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_tiff_pages": op4_tiff_pages,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
