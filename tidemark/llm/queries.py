@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, sentencepiece_bpe, tiff
+from . import exact_dedup, mixing, quality, sentencepiece_bpe, tiff
 from .common import table
 
 
@@ -55,11 +55,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op4_tiff_pages": op4_tiff_pages,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
