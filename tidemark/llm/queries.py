@@ -6,10 +6,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, quality, sentencepiece_bpe, tiff
+from . import exact_dedup, mixing, pii, quality, sentencepiece_bpe, tiff
 from .common import table
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
+    spans = spans.withColumn("base", F.expr(f"filter(found, x -> x.rank < {len(pii.BASE)})"))
+    return spans.select(
+        "doc_id",
+        *(F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(F.expr(pii.joined("base")), 256).alias("base_sha256"),
+        F.expr(pii.joined("found")).alias("spans"),
+        F.expr("transform(found, x -> x.score)").alias("scores"),
+    )
+
+
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tiff.encode_texts(table(spark, sf_dir, "documents"), predictor=tiff.HORIZONTAL)
     files = files.select("id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
@@ -60,6 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op4_tiff_pages": op4_tiff_pages,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
