@@ -6,10 +6,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, pii, quality, sentencepiece_bpe, tiff
+from . import exact_dedup, mixing, pii, quality, sentencepiece_bpe, tiff, url_filter
 from .common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.mined(url_filter.labelled_pages(spark, sf_dir))
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
     spans = spans.withColumn("base", F.expr(f"filter(found, x -> x.rank < {len(pii.BASE)})"))
@@ -72,6 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_pii": op3_pii,
     "op4_tiff_pages": op4_tiff_pages,
     "op5_mixing": op5_mixing,
