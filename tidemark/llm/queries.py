@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, pii, quality, sentencepiece_bpe, tiff, url_filter
+from . import exact_dedup, minhash_dedup, mixing, pii, quality, sentencepiece_bpe, tiff, url_filter
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
     spans = spans.withColumn("base", F.expr(f"filter(found, x -> x.rank < {len(pii.BASE)})"))
@@ -78,6 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_pii": op3_pii,
     "op4_tiff_pages": op4_tiff_pages,
     "op5_mixing": op5_mixing,
