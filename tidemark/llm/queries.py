@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, minhash_dedup, mixing, pii, quality, sentencepiece_bpe, tiff, url_filter
-from .common import table
+from . import exact_dedup, minhash_dedup, mixing, pii, quality, sentencepiece_bpe, substring_dedup, tiff, url_filter
+from .common import staged, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # what travels of each text is its digest; the operator itself gives the words
+    rows, cut = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.select("id", "key", "size", "n_words", F.sha2("words", 256).alias("whole"))
+    cut = staged(cut.select("key", "size", "n_removed", F.sha2("kept", 256).alias("rest")).dropDuplicates(["key", "size"]), "cut")
+    return rows.join(cut, ["key", "size"], "left").select(
+        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("rest", "whole").alias("kept_sha256")
+    )
+
+
 def piece_model() -> str:
     """The vocabulary file: TIDEMARK_PIECE_MODEL, else the one installed beside the tokenizer libraries."""
     if not (path := os.environ.get("TIDEMARK_PIECE_MODEL")):
@@ -87,11 +97,34 @@ QUERIES = {
     "op4_tiff_pages": op4_tiff_pages,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
+    "op2_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) FILTER (g.i IS NULL) AS rest, count(g.i) AS gone
+      FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i GROUP BY u.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256,
                   length(coalesce(text, '')) AS points FROM documents),
