@@ -19,8 +19,8 @@ TREES, FIRST = 12, 3
 SKETCH = 128
 #: Agreement of sketches from which a pair is compared in full: four deviations below the threshold's 109, then three.
 AGREE, AGREE_LATER = 92, 98
-#: Documents that a leaf holds at most; they are compared exhaustively.
-LEAF = 1000
+#: What a leaf holds at most, compared exhaustively: documents, and a thousand shingles count as one more.
+LEAF = 4000
 #: Levels after which a node is cut into blocks whose pairs are compared instead.
 DEPTH = 12
 _RNG = np.random.default_rng(20)
@@ -128,10 +128,10 @@ def _agreeing(sketch: np.ndarray, agree: int, group: np.ndarray | None = None):
 
 
 def _screened(rows: DataFrame) -> DataFrame:
-    """Of (node, key, sketch) the rows with another in their node that agrees with them enough."""
+    """Of (tree, node, key, sketch) the rows with another in their node that agrees with them enough."""
 
     def work(group):
-        node, key, sketch = group
+        node, tree, key, sketch = group
         n = len(key)
         x = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
         if n == 2:
@@ -142,19 +142,21 @@ def _screened(rows: DataFrame) -> DataFrame:
                 near[i] = near[j] = True
         if near.any():
             take = np.flatnonzero(near).tolist()
-            yield [node[i] for i in take], [key[i] for i in take]
+            yield [tree[i] for i in take], [node[i] for i in take], [key[i] for i in take]
+
+    kinds, names = (pa.int32(), pa.int64(), pa.binary()), ["tree", "node", "key"]
 
     def run(batches):
-        out = ([], [])
-        for nodes, keys in _by_group(batches, work, 3):
-            out[0].extend(nodes)
-            out[1].extend(keys)
+        out = ([], [], [])
+        for found in _by_group(batches, work, 4):
+            for held, x in zip(out, found):
+                held.extend(x)
             if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["node", "key"])
-                out = ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["node", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
+                out = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
-    return rows.select("node", "key", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, key binary")
+    return rows.select("node", "tree", "key", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "tree int, node long, key binary")
 
 
 class Sets:
@@ -183,8 +185,8 @@ class Sets:
 
 
 def leaf_links(keys: list, comps: list, sketches: list[bytes], sets: list[np.ndarray], agree: int, threshold: int) -> list[tuple[bytes, bytes]]:
-    """Links that join what is not joined yet: a forest over the documents of a leaf with the components of all
-    links between them. Pairs whose sketches agree enough are compared in full, the most alike first, unless
+    """Edges that join what is not joined yet: from the documents of a leaf whose component grows to the least there, so
+    that components are those of all links in it. Pairs whose sketches agree enough are compared in full, the most alike first, unless
     links found before already join them."""
     names: dict = {}
     root = np.array([names.setdefault(c, i) for i, c in enumerate(comps)])
@@ -193,7 +195,7 @@ def leaf_links(keys: list, comps: list, sketches: list[bytes], sets: list[np.nda
     i, j, same = (np.concatenate([f[c] for f in found]) for c in range(3))
     if not len(i):
         return []
-    whole, out = Sets(sets), []
+    whole, before = Sets(sets), root.copy()
     order = np.argsort(-same, kind="stable")
     i, j = i[order], j[order]
     while len(i):
@@ -202,11 +204,17 @@ def leaf_links(keys: list, comps: list, sketches: list[bytes], sets: list[np.nda
         linked = 100 * shared >= threshold * (whole.size[a] + whole.size[b] - shared)
         for p, q in zip(a[linked].tolist(), b[linked].tolist()):
             if root[p] != root[q]:
-                out.append((keys[p], keys[q]))
                 root[root == root[q]] = root[p]
         i, j = i[4096:], j[4096:]
         apart = root[i] != root[j]
         i, j = i[apart], j[apart]
+    # one document stands for each old component; of those in a new one, each is tied to the least
+    stands, out = {}, []
+    for n in np.unique(before, return_index=True)[1].tolist():
+        stands.setdefault(root[n], []).append(keys[n])
+    for own in stands.values():
+        least = min(own)
+        out.extend((k, least) for k in own if k != least)
     return out
 
 
@@ -234,7 +242,7 @@ def _linked(rows: DataFrame, agree: int, threshold: int) -> DataFrame:
 
 
 def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(key, elements) of the documents whose (rep, key) are needed, from their texts."""
+    """(key, sketch, elements) of the documents whose (rep, key) are needed, from their texts."""
 
     def run(batches):
         for b in batches:
@@ -243,11 +251,13 @@ def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: in
             for i, j in chunks(raw):
                 value, offsets = shingle_sets(raw[i:j], k)
                 keys = set_keys(value, offsets)
+                _, sketch = signatures(value, offsets)
                 take = [n for n in range(j - i) if keys[n] == want[i + n]]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[n] for n in take], pa.binary()), pa.array([value[offsets[n] : offsets[n + 1]].tobytes() for n in take], pa.binary())], ["key", "elements"])
+                columns = ([keys[n] for n in take], [sketch[n].tobytes() for n in take], [value[offsets[n] : offsets[n + 1]].tobytes() for n in take])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["key", "sketch", "elements"])
 
     texts = documents_select(df, id_col, text_col).join(needed, F.expr("id <=> rep")).select("key", "text")
-    return texts.mapInArrow(run, "key binary, elements binary")
+    return texts.mapInArrow(run, "key binary, sketch binary, elements binary")
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -257,7 +267,7 @@ def _branch(rows: DataFrame) -> DataFrame:
     token = lambda salt: F.xxhash64("node", F.lit(salt), F.substr("sketch", at(salt) + 1, F.lit(1)))
     second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * (100 / THRESHOLD - 1))
     children = F.when(second, F.array(token("a"), token("b"))).otherwise(F.array(token("a")))
-    return rows.select("tree", F.explode(children).alias("node"), "key", "sketch")
+    return rows.select("tree", F.explode(children).alias("node"), "key", "weight", "sketch")
 
 
 def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -270,10 +280,10 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (3, 5))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(5)), pa.array((x != y).mean(axis=1))], ["tree", "node", "key", "sketch", "pivot", "far"])
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (4, 6))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(6)), pa.array((x != y).mean(axis=1))], [*_ROW, "pivot", "far"])
 
-    rows = staged(rows.select("tree", "node", "key", "sketch", "pivot", "pivot_sketch").mapInArrow(run, "tree int, node long, key binary, sketch binary, pivot binary, far double"), "nodes")
+    rows = staged(rows.select(*_ROW, "pivot", "pivot_sketch").mapInArrow(run, "tree int, node long, key binary, weight double, sketch binary, pivot binary, far double"), "nodes")
     core = staged(rows.where((F.col("far") <= 0.08) & (F.col("key") != F.col("pivot"))).select("key", "pivot").distinct(), "core")
     both = core.select("key").union(core.select("pivot")).distinct()
     sets = staged(_sets_of(df, both.join(reps, "key").select("rep", "key"), id_col, text_col, k), "sets")
@@ -293,14 +303,21 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     rows = rows.join(edges, (F.col("key") == F.col("u")) & (F.col("pivot") == F.col("v")), "left").withColumn("tied", F.col("u").isNotNull() | (F.col("key") == F.col("pivot"))).drop("u", "v")
     nearest = rows.where("not tied").groupBy("node").agg(F.min("far").alias("open"))
     left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.col("far") + (1 - threshold / 100) + 0.1 >= F.col("open")))
-    return edges, left.select("tree", "node", "key", "sketch")
+    return edges, left.select(*_ROW)
+
+
+_ROW = ("tree", "node", "key", "weight", "sketch")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(node, size) of nodes with two documents or more."""
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("size")).where("n > 1").drop("n")
 
 
 def _leaves(sigs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: int, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """((tree, node, key, sketch) rows of leaves with two documents or more, edges found on the way)."""
-    light = sigs.select("key", F.posexplode("roots").alias("tree", "token")).select("tree", F.xxhash64("tree", "token").alias("node"), "key")
-    sizes = light.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = staged(light.join(sizes, "node").join(sigs.select("key", "sketch"), "key").select("tree", "node", "key", "sketch", "size"), "nodes")
+    light = sigs.select("key", "weight", F.posexplode("roots").alias("tree", "token")).select("tree", F.xxhash64("tree", "token").alias("node"), "key", "weight")
+    rows = staged(light.join(_sizes(light), "node").drop("weight").join(sigs.select("key", "weight", "sketch"), "key").select(*_ROW, "size"), "nodes")
     leaves, edges = [rows.where(F.col("size") <= leaf).drop("size")], []
     level = 0
     while not (large := rows.where(F.col("size") > leaf)).isEmpty():
@@ -311,8 +328,7 @@ def _leaves(sigs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_c
             break
         level += 1
         children = staged(_branch(left), "nodes")
-        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = staged(children.join(sizes, "node").select("tree", "node", "key", "sketch", "size"), "nodes")
+        rows = staged(children.join(_sizes(children), "node").select(*_ROW, "size"), "nodes")
         leaves.append(rows.where(F.col("size") <= leaf).drop("size"))
     return _union(leaves), edges
 
@@ -326,10 +342,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
     """A leaf for every two blocks of half a leaf's documents of each node, and so one that holds any two of them."""
-    sizes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (leaf / 4)).cast("int").alias("blocks"))
+    sizes = rows.groupBy("node").agg(F.ceil(F.sum("weight") / (leaf / 4)).cast("int").alias("blocks"))
     rows = rows.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key", "sketch")
+    return rows.select("tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key", "weight", "sketch")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -347,23 +363,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more than a leaf in one task, drops anything from a node that could still have a link, or emits more edges
     than a leaf has documents."""
     sigs = staged(_described(df, id_col, text_col, k), "signatures")
-    once = sigs.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(F.struct("roots", "sketch")).alias("s"))
+    once = sigs.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(F.struct("roots", "sketch", (1 + F.col("n") / 1000).alias("weight"))).alias("s"))
     reps = staged(once.select("key", "rep", "s.*"), "reps")
     names = reps.select("key", "rep")
     leaves, edges = _leaves(reps, names, df, id_col, text_col, k, threshold, leaf, depth)
-    trees = leaves.select("tree", "node").distinct()
-    near = staged(_screened(leaves).join(trees, "node").select("tree", "node", "key"), "near")
+    near = staged(_screened(leaves), "near")
     needed = near.select("key").distinct().join(reps, "key")
     sets = staged(_sets_of(df, needed.select("rep", "key"), id_col, text_col, k), "sets")
-    sketches = reps.select("key", "sketch")
     first = near.where(F.col("tree") < FIRST).withColumn("comp", F.col("key"))
-    edges.append(staged(_linked(first.join(sketches, "key").join(sets, "key"), AGREE, threshold), "links"))
+    edges.append(staged(_linked(first.join(sets, "key"), AGREE, threshold), "links"))
     found = staged(components(_union(edges)), "components")
     joined = found.select(F.col("node").alias("key"), "root")
     later = near.where(F.col("tree") >= FIRST).join(joined, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     mixed = later.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("node")
     later = later.join(mixed, "node")
-    more = _linked(later.join(sketches, "key").join(sets, "key"), AGREE_LATER, threshold)
+    more = _linked(later.join(sets, "key"), AGREE_LATER, threshold)
     stars = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     final = components(more.unionByName(stars)).select(F.col("node").alias("key"), "root")
     whole = names.join(final, "key", "left").withColumn("root", F.coalesce("root", "key"))
