@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, minhash_dedup, mixing, pii, quality, sentencepiece_bpe, substring_dedup, tiff, url_filter
+from . import exact_dedup, gru_lm, minhash_dedup, mixing, pii, quality, sentencepiece_bpe, substring_dedup, tiff, url_filter
 from .common import staged, table
 
 
@@ -56,6 +56,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.language_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # what travels of each text is its digest; the operator itself gives the words
     rows, cut = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,6 +101,7 @@ QUERIES = {
     "op4_tiff_pages": op4_tiff_pages,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_gru_lm": op7_gru_lm,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
