@@ -14,14 +14,14 @@ from .common import SPACES
 #: Content bytes that a table holds before its bucket is partitioned again.
 TABLE_BYTES = 32 << 20
 FANOUT = 16
-_CLASS = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("points", pa.int64()), ("keep", pa.string()), ("copies", pa.int64())])
+_CLASS = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("points", pa.int64()), ("keep", pa.string()), ("copies", pa.int64()), ("times", pa.int64())])
 
 
 class OpenTable:
     """Open addressing with linear probing; keys are equal only if their whole contents are.
 
-    An entry is [digest, content, points, id, copies]: the best row (most code points, then smallest id, a
-    null id last) of those with the content, and how many there are."""
+    An entry is [digest, content, points, id, copies, times]: the best row (most code points, then smallest id, a
+    null id last) of those with the content, how many there are, and how often the best is repeated."""
 
     def __init__(self, slots: int = 1 << 10):
         self.slots, self.entries, self.bytes = [-1] * slots, [], 0
@@ -35,16 +35,18 @@ class OpenTable:
             at = (at + 1) & last
         return at
 
-    def add(self, digest: bytes, content: str, points: int, key, copies: int) -> None:
+    def add(self, digest: bytes, content: str, points: int, key, copies: int, times: int) -> None:
         at = self._slot(digest, content)
         if (e := self.slots[at]) >= 0:
             x = self.entries[e]
             x[4] += copies
-            if points > x[2] or points == x[2] and key is not None and (x[3] is None or key < x[3]):
-                x[2], x[3] = points, key
+            if points == x[2] and key == x[3]:
+                x[5] += times
+            elif points > x[2] or points == x[2] and key is not None and (x[3] is None or key < x[3]):
+                x[2], x[3], x[5] = points, key, times
             return
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, content, points, key, copies])
+        self.entries.append([digest, content, points, key, copies, times])
         self.bytes += len(content) + 200
         if 2 * len(self.entries) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
@@ -126,31 +128,31 @@ def _nibble(digest: bytes, depth: int) -> int:
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """Every row of `df` with keep_id, group_size, kept and text_sha256, in place of any columns so named.
+    """Every row of `df` with keep_id, group_size, kept_rows, kept and text_sha256, in place of any columns so named.
 
     Texts are equal when identical after deleting white space (space, tab to carriage return); of equal texts
     the row with the most code points, then the smallest id, stays. A null text counts as empty; a null id sorts
-    last and is kept where it is alone; rows that repeat an id and its text share one result. An empty table
+    last and is kept where it is alone; rows that repeat an id and its text share one result, and kept_rows counts them. An empty table
     gives an empty result. Other columns pass through.
 
     A combiner in each input partition folds its copies, so a text that a third of all rows share reaches its
     bucket once per partition. Buckets are Grace hash partitions: spilled and partitioned again until they fit an
     open-addressing table that compares complete contents. The rows then join their class by digest, a join
     whose skewed partitions Spark may split."""
-    made = ("keep_id", "group_size", "kept", "text_sha256")
+    made = ("keep_id", "group_size", "kept_rows", "kept", "text_sha256")
     rows = df.drop(*made)
     squeezed = F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, "")
     kind = df.schema[id_col].dataType
     numeric = isinstance(kind, LongType)
     schema = pa.schema([f if f.name != "keep" else pa.field("keep", pa.int64() if numeric else pa.string()) for f in _CLASS])
-    ddl = f"digest binary, content string, points long, keep {'long' if numeric else 'string'}, copies long"
+    ddl = f"digest binary, content string, points long, keep {'long' if numeric else 'string'}, copies long, times long"
     source = df.select(squeezed.alias("content"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"), F.col(id_col).cast("long" if numeric else "string").alias("keep"))
 
     def combine(batches):
         held = OpenTable()
         for b in batches:
             for content, points, key in zip(*(c.to_pylist() for c in b.columns)):
-                held.add(hashlib.sha256(content.encode()).digest(), content, points, key, 1)
+                held.add(hashlib.sha256(content.encode()).digest(), content, points, key, 1, 1)
                 if held.bytes > table_bytes:
                     yield from _batches(held.entries, schema)
                     held = OpenTable()
@@ -158,10 +160,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     def classes(batches):
         entries = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        out = pa.schema([f for f in schema if f.name not in ("content", "points")])
+        out = pa.schema([f for f in schema if f.name != "content"])
         held = []
         for x in grace(entries, table_bytes, schema):
-            held.append((x[0], x[3], x[4]))
+            held.append((x[0], *x[2:]))
             if len(held) == 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), out)], schema=out)
                 held = []
@@ -171,13 +173,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     found = (
         source.mapInArrow(combine, ddl)
         .repartition(F.col("digest"))
-        .mapInArrow(classes, f"digest binary, keep {'long' if numeric else 'string'}, copies long")
-        .select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep").cast(kind).alias("keep_id"), F.col("copies").alias("group_size"))
+        .mapInArrow(classes, f"digest binary, points long, keep {'long' if numeric else 'string'}, copies long, times long")
+        .select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep").cast(kind).alias("keep_id"), F.col("copies").alias("group_size"), F.col("times").alias("kept_rows"), F.col("points").alias("__points"))
     )
     joined = rows.withColumn("text_sha256", F.sha2(squeezed, 256)).join(found, "text_sha256")
-    return joined.select(*rows.columns, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return joined.select(*rows.columns, "keep_id", "group_size", "kept_rows", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__points"))).alias("kept"), "text_sha256")
 
 
 def kept_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of `df`."""
-    return exact_dedup(df, id_col, text_col).where("kept").select(*df.columns)
+    """One row of each group, with the columns of `df`: where rows repeat the id that stays, one of them."""
+    stays = exact_dedup(df, id_col, text_col).where("kept")
+    once = stays.where("kept_rows = 1").select(*df.columns)
+    again = stays.where("kept_rows > 1").dropDuplicates(["text_sha256"]).select(*df.columns)
+    return once.unionByName(again)
