@@ -23,6 +23,8 @@ AGREE, AGREE_LATER = 92, 98
 LEAF = 4000
 #: Levels after which a node is cut into blocks whose pairs are compared instead.
 DEPTH = 12
+#: Rows of an id and a key, some MB, up to which texts are looked up where they are read instead of being shuffled.
+BROADCAST = 100_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 2**63, TREES + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, TREES + SKETCH, np.uint64) * np.uint64(2)
@@ -256,6 +258,9 @@ def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: in
                 columns = ([keys[n] for n in take], [sketch[n].tobytes() for n in take], [value[offsets[n] : offsets[n + 1]].tobytes() for n in take])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["key", "sketch", "elements"])
 
+    needed = staged(needed, "needed")
+    if needed.count() <= BROADCAST:
+        needed = F.broadcast(needed)
     texts = documents_select(df, id_col, text_col).join(needed, F.expr("id <=> rep")).select("key", "text")
     return texts.mapInArrow(run, "key binary, sketch binary, elements binary")
 
