@@ -1,0 +1 @@
+"""Analytics for quantitative research on Spark DataFrames: long panels keyed by symbol and time."""
