@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BY, ORDER = ("symbol",), ("ts",)
@@ -62,4 +63,9 @@ def with_states(df: DataFrame, work: Callable, outputs: dict[str, str], by: Sequ
     """`df` with the columns of `outputs` (name: type); work(frame in order) gives a mapping of arrays."""
     keep = [c for c in df.columns if c not in outputs]
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in outputs.items()]
-    return by_group(df.select(*keep), lambda f: f.assign(**work(f)), ", ".join(fields), by, order)
+
+    def run(frame):
+        made = {k: pd.Series(v, index=frame.index) for k, v in work(frame).items()}
+        return frame.assign(**{k: v.astype(object).where(v.notna(), None) for k, v in made.items()})
+
+    return by_group(df.select(*keep), run, ", ".join(fields), by, order)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import BY, ORDER, full, ordered, ratio, rolling, running, whole, with_states
-from ..plans.portable import to_duck
+from ..plans.portable import doubles, to_duck
 
 
 def simple(ret: str, return_type: str = "simple") -> Column:
@@ -168,14 +168,14 @@ def statistics(df: DataFrame, names: list[str], ret: str = "ret", rf: float = 0.
     """(by, one column for each name) of STATISTICS and, with a benchmark, RELATIVE: one aggregation whatever the
     number of names."""
     table = STATISTICS | (RELATIVE if bench else {})
-    text = lambda n: table[n].replace("{P}", f"{float(periods)!r}").replace("{RF}", repr(float(rf)))
+    text = lambda n: doubles(table[n].replace("{P}", f"{float(periods)!r}").replace("{RF}", repr(float(rf))))
     return enriched(df, ret, rf, periods, bench, by, order).groupBy(*by).agg(*(F.expr(text(n)).alias(n) for n in names))
 
 
 def statistics_sql(source: str, names: list[str], rf: float = 0.0, periods: int = 252, bench: bool = False) -> str:
     """The same in DuckDB over a SELECT of symbol, ts, ret and bench."""
     table = STATISTICS | (RELATIVE if bench else {})
-    text = lambda n: to_duck(table[n]).replace("{P}", f"{float(periods)!r}").replace("{RF}", repr(float(rf)))
+    text = lambda n: doubles(to_duck(table[n]).replace("{P}", f"{float(periods)!r}").replace("{RF}", repr(float(rf))))
     run = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
     beq = f", product(1 + bench) {run} AS beq" if bench else ""
     return f"""WITH a AS (SELECT *, ret - {(1 + rf) ** (1 / periods) - 1!r} AS ex FROM ({source}) AS s WHERE ret IS NOT NULL{' AND bench IS NOT NULL' if bench else ''}),

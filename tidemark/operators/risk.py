@@ -48,7 +48,7 @@ def entropic_value_at_risk(df: DataFrame, ret: str = "ret", confidence: float =
     """(by, entropic_value_at_risk): the least of (log E exp(zL) - log(1 - confidence)) / z, by golden section on log z."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         loss = -frame[ret].dropna().to_numpy(float)
         scale = max(loss.std(), np.abs(loss).max(), 1e-12)
         if np.ptp(loss) <= 1e-15 * scale:

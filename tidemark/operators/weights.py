@@ -105,7 +105,7 @@ def sequential_bootstrap(observations: DataFrame, events: DataFrame, size: int |
     placed = _placed(observations, events, start, end, by, order).select(*by, "start_position", "end_position")
     ddl = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in by) + ", draw int, start_position int"
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["start_position", "end_position"])
         s, e = frame["start_position"].to_numpy(), frame["end_position"].to_numpy()
         alive = np.zeros(int(e.max()) + 2)

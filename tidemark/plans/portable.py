@@ -16,6 +16,11 @@ def to_duck(sql: str) -> str:
     return re.sub(r"\bdatediff\(([^,()]+), ([^,()]+)\)", r"date_diff('day', \2, \1)", sql)
 
 
+def doubles(sql: str) -> str:
+    """Decimal literals as doubles, which both engines take 1e0 for."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql)
+
+
 def layered(df: DataFrame, layers: Layers) -> DataFrame:
     """Each layer's columns may use those of the layers before."""
     for layer in layers:
