@@ -411,6 +411,28 @@ case("montecarlo_outcomes", "symbol terminal_mean* terminal_std* terminal_p50* d
 case("noise_test", "symbol sim# step# path*", lambda s, d: sim.noise_test(fx.stream(s, d), 5))
 case("variance_test", "symbol sim# step# path*", lambda s, d: sim.variance_test(fx.stream(s, d), 100, 5))
 case("confidence_band", "symbol step# lower* upper*", lambda s, d: sim.confidence_band(sim.noise_test(fx.stream(s, d), 20)))
-case("account_replay", "symbol ts reward* equity* peak* drawdown* total_cost* steps#", lambda s, d: sim.replay(fx.stream(s, d).withColumn("position", F.signum("bench")), cost=0.001),
-     f"""SELECT symbol, ts, reward, equity, peak, equity / peak - 1 AS drawdown, sum(cost) {_RUN} AS total_cost, row_number() OVER ({P}) AS steps FROM (SELECT *, greatest(1.0, max(equity) {_RUN}) AS peak FROM (SELECT *, product(1 + reward) {_RUN} AS equity FROM (
- SELECT *, p * ret - cost AS reward FROM (SELECT *, 0.001 * abs(p - coalesce(lag(p) OVER ({P}), 0)) AS cost FROM (SELECT *, sign(bench) AS p FROM {S}) AS a) AS b) AS c) AS e) AS f""")
+case("account_replay", "symbol ts reward* log_equity* log_peak* drawdown* total_cost* steps#", lambda s, d: sim.replay(fx.stream(s, d).withColumn("position", F.signum("bench")), cost=0.0013713).withColumns({"log_equity": F.ln("equity"), "log_peak": F.ln("peak")}),
+     f"""SELECT symbol, ts, reward, ln(equity) AS log_equity, ln(peak) AS log_peak, equity / peak - 1 AS drawdown, sum(cost) {_RUN} AS total_cost, row_number() OVER ({P}) AS steps FROM (SELECT *, greatest(1.0, max(equity) {_RUN}) AS peak FROM (SELECT *, product(1 + reward) {_RUN} AS equity FROM (
+ SELECT *, p * ret - cost AS reward FROM (SELECT *, 0.0013713 * abs(p - coalesce(lag(p) OVER ({P}), 0)) AS cost FROM (SELECT *, sign(bench) AS p FROM {S}) AS a) AS b) AS c) AS e) AS f""")
+
+# catalogs of indicators
+from ..functions import catalog  # noqa: E402
+
+_UNIT = {"ACOS", "ASIN", "ATAN", "COS", "COSH", "EXP", "SIN", "SINH", "TAN", "TANH"}
+_WHOLE = {"MAXINDEX", "MININDEX", "MINMAXINDEX"}
+
+
+def _catalog(prefix: str, name: str, make) -> None:
+    layers = make()
+    outs = list(layers[-1])
+    unit = name in _UNIT
+    spec = "symbol ts " + " ".join(c + ("#" if name in _WHOLE else "*") for c in outs)
+    panel = (lambda s, d: fx.daily(s, d).withColumn("close", F.col("close") / 1000)) if unit else fx.daily
+    source = f"SELECT * REPLACE (close / 1000 AS close) FROM {D}" if unit else f"SELECT * FROM {D}"
+    case(f"{prefix}_{name}", spec, lambda s, d: catalog.add(panel(s, d).drop("sectorid"), layers), catalog.duck(source, layers).replace("SELECT *, ", "SELECT *, ", 1))
+
+
+for _n, _make in catalog.TA.items():
+    _catalog("ta", _n, _make)
+for _n, _make in catalog.PTA.items():
+    _catalog("pta", _n, _make)
