@@ -436,3 +436,38 @@ for _n, _make in catalog.TA.items():
     _catalog("ta", _n, _make)
 for _n, _make in catalog.PTA.items():
     _catalog("pta", _n, _make)
+
+from ..functions import candles, recursive  # noqa: E402
+
+for _n, _make in candles.PATTERNS.items():
+    _WHOLE.add(_n)
+    _catalog("candle", _n, _make)
+case("pta_cdl_pattern", "symbol ts integer#", lambda s, d: catalog.add(fx.daily(s, d).drop("sectorid"), candles.PATTERNS["CDLDOJI"]()), catalog.duck(f"SELECT * FROM {D}", candles.PATTERNS["CDLDOJI"]()))
+
+# indicators that carry a state; the plain ones among them in SQL by recursion
+_SEEDED = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, {x} AS x FROM ({src}) AS q), m AS (SELECT * REPLACE (k - {skip} AS k) FROM n WHERE k > {skip}),
+e AS (SELECT symbol, k, avg(x) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM m QUALIFY k = {n} UNION ALL SELECT m.symbol, m.k, e.v + {a} * (m.x - e.v) FROM e JOIN m ON m.symbol = e.symbol AND m.k = e.k + 1)"""
+_TRUE = f"SELECT *, greatest(high - low, abs(high - lag(close) OVER ({P})), abs(low - lag(close) OVER ({P}))) AS tr, close - lag(close) OVER ({P}) AS dv FROM {D}"
+
+
+def _ewm(x: str, n: int, a: str, skip: int = 0, src: str = _TRUE) -> str:
+    return _SEEDED.format(x=x, n=n, a=a, skip=skip, src=src)
+
+
+_SIMPLE = {
+    "EMA": _ewm("close", 30, "2.0::DOUBLE / 31") + " SELECT n.symbol, n.ts, e.v AS real FROM n LEFT JOIN e ON e.symbol = n.symbol AND e.k = n.k",
+    "ATR": _ewm("tr", 14, "1.0::DOUBLE / 14", 1).replace("greatest(high", "greatest(high") + " SELECT n.symbol, n.ts, e.v AS real FROM n LEFT JOIN e ON e.symbol = n.symbol AND e.k = n.k - 1",
+}
+_SIMPLE["pta_ema"] = _SIMPLE["EMA"].replace("k = 30", "k = 10").replace("/ 31", "/ 11")
+_SIMPLE["pta_atr"] = _SIMPLE["ATR"]
+_SIMPLE["pta_rma"] = _ewm("close", 10, "1.0::DOUBLE / 10") + " SELECT n.symbol, n.ts, e.v AS real FROM n LEFT JOIN e ON e.symbol = n.symbol AND e.k = n.k"
+_SIMPLE["RSI"] = (
+    _ewm("greatest(dv, 0)", 14, "1.0::DOUBLE / 14", 1).replace("e AS (", "ea AS (").replace("FROM e JOIN m ON m.symbol = e.symbol AND m.k = e.k + 1", "FROM ea AS e JOIN m ON m.symbol = e.symbol AND m.k = e.k + 1")
+    + ", n2 AS (SELECT * REPLACE (greatest(-dv, 0) AS x) FROM m), eb AS (SELECT symbol, k, avg(x) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM n2 QUALIFY k = 14 UNION ALL SELECT m.symbol, m.k, e.v + 1.0::DOUBLE / 14 * (m.x - e.v) FROM eb AS e JOIN n2 AS m ON m.symbol = e.symbol AND m.k = e.k + 1)"
+    + " SELECT n.symbol, n.ts, 100 * ea.v / nullif(ea.v + eb.v, 0) AS real FROM n LEFT JOIN ea ON ea.symbol = n.symbol AND ea.k = n.k - 1 LEFT JOIN eb ON eb.symbol = n.symbol AND eb.k = n.k - 1"
+)
+_SIMPLE["pta_rsi"] = _SIMPLE["RSI"]
+_SIMPLE["CMO"] = _SIMPLE["RSI"].replace("100 * ea.v / nullif(ea.v + eb.v, 0) AS real", "200 * ea.v / nullif(ea.v + eb.v, 0) - 100 AS real")
+_SIMPLE["pta_cmo"] = _SIMPLE["CMO"]
+for _n, (_work, _outs) in recursive.CATALOG.items():
+    case(f"rec_{_n}", "symbol ts " + " ".join(f"{c}*" for c in _outs), lambda s, d, n=_n: recursive.add(fx.daily(s, d).drop("sectorid"), n), _SIMPLE.get(_n))
