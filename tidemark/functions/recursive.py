@@ -96,6 +96,18 @@ for _name, _n in (("EMA", 30), ("pta_ema", 10)):
 indicator("pta_rma")(lambda b, n=10: {"real": rma(b["close"], n)})
 
 
+def mean_of(kind: str, x: np.ndarray, n: int) -> np.ndarray:
+    """A moving mean by name."""
+    weights = np.arange(1, n + 1, dtype=float)
+    return {
+        "ema": lambda: ema(x, n), "rma": lambda: rma(x, n), "sma": lambda: sma(x, n), "dema": lambda: (lambda e: 2 * e[0] - e[1])(_many(x, n, 2)), "tema": lambda: (lambda e: 3 * e[0] - 3 * e[1] + e[2])(_many(x, n, 3)),
+        "kama": lambda: kama(x, n), "t3": lambda: t3(x, n, 0.7), "wma": lambda: pd.Series(x).rolling(n).apply(lambda v: v @ weights / weights.sum(), raw=True).to_numpy(),
+    }[kind]()
+
+
+indicator("pta_ma")(lambda b, kind="ema", n=10: {"real": mean_of(kind, b["close"], n)})
+
+
 def _many(x: np.ndarray, n: int, times: int) -> list[np.ndarray]:
     out = []
     for _ in range(times):

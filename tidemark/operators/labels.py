@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.frames import BY, ORDER, ordered, ratio, whole, with_states
+from ..functions.frames import BY, ORDER, ordered, ratio, with_states
 
 
 def cusum_filter(df: DataFrame, price: str = "close", threshold: float | str = 0.02, drift: float = 0.0, log_returns: bool = True, by=BY, order=ORDER) -> DataFrame:
@@ -121,23 +121,26 @@ def trend_scanning(df: DataFrame, price: str = "close", horizons: tuple[int, ...
     the largest absolute t value, the shorter of equals; a perfect line's is infinite."""
     w = ordered(by, order)
     y = F.ln(price) if log_prices else F.col(price).cast("double")
-    rows = df.withColumn("__y", y).withColumn("__x", F.row_number().over(w).cast("double"))
-    rows = rows.withColumn("__y0", F.col("__y") - F.avg("__y").over(whole(by)))
+    ahead = F.collect_list(F.struct(y.alias("y"), F.col(order[0]).alias("t"), F.col(price).cast("double").alias("p"))).over(w.rowsBetween(0, max(horizons)))
+    rows = df.withColumn("__path", ahead)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     made = {}
     for h in horizons:
-        f = w.rowsBetween(0, h)
         n = h + 1
         sxx = n * (n * n - 1) / 12
-        slope = F.regr_slope("__y0", "__x").over(f)
-        left = F.greatest(F.regr_syy("__y0", "__x").over(f) - slope * slope * sxx, F.lit(0.0)) / (n - 2)
-        error = F.sqrt(left / sxx)
-        small = F.greatest(F.lit(1.0), F.max(F.abs("__y")).over(f)) * 1e-13
-        t = F.when(error <= small, F.when(F.abs(slope) <= 1e-15, 0.0).otherwise(F.signum(slope) * F.lit(float("inf")))).otherwise(F.try_divide(slope, error))
-        whole_line = F.lead("__x", h).over(w).isNotNull()
-        made[f"__h{h}"] = F.when(whole_line, F.struct(F.abs(t).alias("size"), F.lit(-h).alias("short"), F.lit(h).alias("horizon"), slope.alias("slope"), t.alias("t_value"), F.lead(order[0], h).over(w).alias("end_time"), (F.lead(price, h).over(w) / F.col(price) - 1).alias("ret")))
+        part = F.transform(F.slice("__path", 1, n), lambda x: x["y"])
+        first = F.struct(part.alias("v"), (total(part) / n).alias("m"))
+        line = lambda f: F.struct(f["v"].alias("v"), f["m"].alias("m"), (total(F.transform(f["v"], lambda x, i: (i - h / 2) * (x - f["m"]))) / sxx).alias("b"))
+        left = lambda f: total(F.transform(f["v"], lambda x, i: F.pow(x - f["m"] - f["b"] * (i - h / 2), F.lit(2))))
+        fit = lambda f: F.struct(f["b"].alias("b"), F.sqrt(left(f) / (n - 2) / sxx).alias("e"), F.greatest(F.lit(1.0), F.array_max(F.transform(f["v"], F.abs))).alias("scale"))
+        # each step is a list of one, so that what it found is not worked out again wherever it is used
+        one = F.transform(F.transform(F.transform(F.array(first), line), fit), lambda f: F.struct(f["b"].alias("b"), F.when(f["e"] <= f["scale"] * 2.220446049250313e-16, F.when(f["b"] == 0, 0.0).otherwise(F.signum(f["b"]) * F.lit(float("inf")))).otherwise(f["b"] / f["e"]).alias("t")))[0]
+        end = F.get("__path", F.lit(h))
+        choice = F.struct(F.abs(one["t"]).alias("size"), F.lit(-h).alias("short"), F.lit(h).alias("horizon"), one["b"].alias("slope"), one["t"].alias("t_value"), end["t"].alias("end_time"), (end["p"] / F.col(price) - 1).alias("ret"))
+        made[f"__h{h}"] = F.when(F.size("__path") > h, choice)
     rows = rows.withColumns(made)
     best = F.array_max(F.array_compact(F.array(*made)))
-    rows = rows.withColumn("__b", best).drop(*made, "__y", "__x", "__y0")
+    rows = rows.withColumn("__b", best).drop(*made, "__path")
     rows = rows.where(event) if event else rows
     rows = rows.where("__b is not null") if drop_censored else rows
     label = F.when(F.col("t_value").isNull(), None).when(F.abs("t_value") > min_t_value, F.signum("t_value").cast("int")).otherwise(0)
