@@ -471,3 +471,54 @@ _SIMPLE["CMO"] = _SIMPLE["RSI"].replace("100 * ea.v / nullif(ea.v + eb.v, 0) AS
 _SIMPLE["pta_cmo"] = _SIMPLE["CMO"]
 for _n, (_work, _outs) in recursive.CATALOG.items():
     case(f"rec_{_n}", "symbol ts " + " ".join(f"{c}*" for c in _outs), lambda s, d, n=_n: recursive.add(fx.daily(s, d).drop("sectorid"), n), _SIMPLE.get(_n))
+
+# SQL for what takes recursion or several steps there
+def _oracle(name: str, spec: str, sql: str) -> None:
+    ORACLES[name] = shaped_sql(sql, spec)
+
+
+_oracle(
+    "cusum_filter", "symbol ts cusum_event#",
+    f"""WITH RECURSIVE n AS (SELECT symbol, ts, ln(close) - ln(lag(close) OVER ({P})) AS d, row_number() OVER ({P}) AS k FROM {D}),
+ e AS (SELECT symbol, ts, k, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS cusum_event FROM n WHERE k = 1 UNION ALL
+ SELECT n.symbol, n.ts, n.k, CASE WHEN least(0, e.dn + d) >= -0.1 AND greatest(0, e.up + d) > 0.1 THEN 0 ELSE greatest(0, e.up + d) END, CASE WHEN least(0, e.dn + d) < -0.1 THEN 0 ELSE least(0, e.dn + d) END,
+ CASE WHEN least(0, e.dn + d) < -0.1 THEN -1 WHEN greatest(0, e.up + d) > 0.1 THEN 1 ELSE 0 END FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1) SELECT * FROM e""",
+)
+_oracle(
+    "exponential_volatility", "symbol ts exp_volatility*",
+    f"""WITH RECURSIVE n AS (SELECT symbol, ts, ret, row_number() OVER ({P}) AS k FROM {S}),
+ e AS (SELECT symbol, ts, k, 1.0::DOUBLE AS w, 1.0::DOUBLE AS w2, ret AS m, 0.0::DOUBLE AS s FROM n WHERE k = 1 UNION ALL
+ SELECT n.symbol, n.ts, n.k, e.w * (29.0::DOUBLE / 31) + 1, e.w2 * pow(29.0::DOUBLE / 31, 2) + 1, e.m + (n.ret - e.m) / (e.w * (29.0::DOUBLE / 31) + 1), e.s * (29.0::DOUBLE / 31) + (n.ret - e.m) * (n.ret - (e.m + (n.ret - e.m) / (e.w * (29.0::DOUBLE / 31) + 1)))
+ FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+ SELECT symbol, ts, CASE WHEN k >= 30 THEN sqrt(s / w * (w * w / (w * w - w2))) * sqrt(252) END AS exp_volatility FROM e""",
+)
+_oracle(
+    "trend_scanning", "symbol ts end_time horizon# slope* t_value* ret* label#",
+    f"""WITH n AS (SELECT *, ln(close) AS y, row_number() OVER ({P}) AS k FROM {D}),
+ f AS (SELECT a.symbol, a.k, h, regr_slope(b.y, b.k - a.k) AS slope, regr_syy(b.y, b.k - a.k) AS syy, regr_sxx(b.y, b.k - a.k) AS sxx FROM n AS a, (SELECT unnest([3, 5, 8]) AS h) AS hs JOIN n AS b ON b.symbol = a.symbol AND b.k BETWEEN a.k AND a.k + h GROUP BY a.symbol, a.k, h HAVING count(*) = h + 1),
+ t AS (SELECT *, slope / sqrt(greatest(syy - slope * slope * sxx, 0) / (h - 1) / sxx) AS t_value FROM f),
+ p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY symbol, k ORDER BY abs(t_value) DESC, h) = 1)
+ SELECT p.symbol, a.ts, b.ts AS end_time, h AS horizon, slope, t_value, b.close / a.close - 1 AS ret, CASE WHEN abs(t_value) > 0 THEN sign(t_value) ELSE 0 END AS label FROM p JOIN n AS a ON a.symbol = p.symbol AND a.k = p.k JOIN n AS b ON b.symbol = p.symbol AND b.k = p.k + h""",
+)
+_oracle(
+    "serenity_index", "symbol serenity_index*",
+    f"""WITH d AS ({_DD}), r AS (SELECT symbol, -drawdown AS l, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY -drawdown DESC) AS k FROM d),
+ e AS (SELECT symbol, greatest(0, sum(part * l) / nullif(sum(part), 0)) AS es FROM (SELECT symbol, l, greatest(0.0, least(1.0, n * (1 - 0.95::DOUBLE) - (k - 1))) AS part FROM r) AS q GROUP BY symbol)
+ SELECT d.symbol, sum(ret) / nullif(sqrt(avg(drawdown * drawdown)) * any_value(es) / stddev_samp(ret), 0) AS serenity_index FROM d JOIN e ON e.symbol = d.symbol GROUP BY d.symbol""",
+)
+_PERIODS = " UNION ALL ".join([f"SELECT symbol, 'D' AS period, ts, ret FROM {S}"] + [f"SELECT symbol, '{p}' AS period, ts, ret FROM (" + ORACLES[f"aggregate_returns_{p}"].split("FROM (", 1)[1].rsplit(") AS shaped", 1)[0] + f") AS q{p}" for p in "WMQY"])
+_oracle(
+    "distribution", "symbol period ts ret* outlier",
+    f"SELECT *, ret < lo - 1.5 * (hi - lo) OR ret > hi + 1.5 * (hi - lo) AS outlier FROM (SELECT *, quantile_cont(ret, 0.25) OVER (PARTITION BY symbol, period) AS lo, quantile_cont(ret, 0.75) OVER (PARTITION BY symbol, period) AS hi FROM ({_PERIODS}) AS u) AS v",
+)
+_oracle(
+    "macro_roc", "fpr* tpr*",
+    f"""WITH c AS (SELECT class, fpr, max(tpr) AS tpr, min(tpr) AS low FROM ({_ROC}) AS r WHERE curve = 'class' GROUP BY 1, 2), s AS (SELECT *, lead(fpr) OVER (PARTITION BY class ORDER BY fpr) AS nf, lead(low) OVER (PARTITION BY class ORDER BY fpr) AS nl FROM c)
+ SELECT x AS fpr, avg(CASE WHEN x = fpr THEN tpr ELSE tpr + (nl - tpr) * (x - fpr) / (nf - fpr) END) AS tpr FROM (SELECT DISTINCT fpr AS x FROM c) AS g JOIN s ON x >= fpr AND x < coalesce(nf, 'Infinity'::DOUBLE) GROUP BY x""",
+)
+_oracle(
+    "prune_labels", "label initial_count# initial_fraction* final_count# final_fraction* dropped drop_step#",
+    f"""WITH l AS (SELECT CASE WHEN fwd_return > 0.15 THEN 1 WHEN fwd_return < -0.15 THEN -1 ELSE 0 END AS label, ts, symbol FROM ({_FH}) AS f WHERE end_time IS NOT NULL),
+ c AS (SELECT label, count(*) AS n, min(row(ts, symbol)) AS seen FROM l GROUP BY label), t AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () > 2 AND row_number() OVER (ORDER BY n, seen) = 1 AND n * 1.0 / sum(n) OVER () < 0.2 AS dropped FROM c)
+ SELECT label, n AS initial_count, n * 1.0 / total AS initial_fraction, CASE WHEN dropped THEN 0 ELSE n END AS final_count, CASE WHEN dropped THEN 0 ELSE n * 1.0 / sum(CASE WHEN dropped THEN 0 ELSE n END) OVER () END AS final_fraction, dropped, CASE WHEN dropped THEN 1 END AS drop_step FROM t""",
+)
