@@ -246,3 +246,21 @@ def test_replay(spark):
     df = spark.createDataFrame([("A", DAY(i), r, p) for i, (r, p) in enumerate(((0.0, 0.0), (0.0, 1.0), (0.1, 1.0), (-0.05, -1.0)))], "symbol string, ts date, ret double, position double")
     got = simulate.replay(df, cost=0.01).orderBy("ts").collect()
     assert [r.turnover for r in got] == [0, 1, 0, 2] and got[-1].equity == pytest.approx(0.99 * 1.1 * (1 + 0.05 - 0.02))
+
+
+def test_environment(spark):
+    from tidemark.operators.env import FinancialEnv
+
+    df = spark.createDataFrame([(i, r, float(i)) for i, r in enumerate((0.0, 0.0, 0.1, -0.05))], "ts int, ret double, signal double")
+    env = FinancialEnv(df, features=("signal",), cost=0.01)
+    seen, _ = env.reset()
+    assert seen == [(0.0,)] and env.feature_names() == ("signal",)
+    for position, reward, over in ((1.0, -0.01, False), (1.0, 0.1, False), (-1.0, 0.03, True)):
+        _, got, broke, ended, _ = env.step(position)
+        assert got == pytest.approx(reward) and not broke and ended == over
+    assert env.account().equity == pytest.approx(0.99 * 1.1 * 1.03) and "step 3" in env.render()
+    with pytest.raises(RuntimeError):
+        env.step(0)
+    ruin = FinancialEnv(df, max_drawdown=0.04)
+    ruin.reset(start=3)
+    assert ruin.step(1)[2]

@@ -93,3 +93,24 @@ def test_resumable_map(spark):
     assert got.prompt == "Say good!" and len(got.prompt_hash) == 64
     with pytest.raises(ValueError):
         runs.render("{other}", df, ["text"])
+
+
+def test_landed_trades(spark, tmp_path):
+    ms = 1735689600000
+    (tmp_path / "X-trades-2025-01-01.csv").write_text(f"id,price,qty,quote_qty,time,is_buyer_maker\n1,10,1,10,{ms},true\n2,12,2,24,{ms},false\n3,11,1,11,{ms + 3_600_000},true\n")
+    got, failed = market.read_bars(spark, ["X", "Y"], "2025-01-01", "2025-01-02", "1 hour", str(tmp_path))
+    assert [(r.open, r.close, r.volume) for r in got.orderBy("datetime").collect()] == [(10, 12, 3), (11, 11, 1)] and list(failed) == ["Y"]
+
+
+def test_json_and_tools(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "no"), (3, '{"a": "x"}')], "id int, text string")
+    good, bad = runs.parsed(df, "a int")
+    assert [(r.id, r.value.a) for r in good.collect()] == [(1, 1)] and sorted(r.id for r in bad.collect()) == [2, 3]
+    tools = runs.ToolRegistry(spark)
+    tools.add("shout", lambda t: t.upper())
+    assert tools.call(df, "shout", "text").where("id = 2").first().result == "NO"
+    with pytest.raises(KeyError):
+        tools.call(df, "other", "text")
+    assert [r.id for r in runs.latest(df.withColumn("k", F.lit(1)), ["k"], "id").collect()] == [3]
+    assert runs.truncated(spark.createDataFrame([([1, 2, 3],)], "ids array<int>"), most=2).first().ids == [1, 2]
+    assert runs.active_run() is None

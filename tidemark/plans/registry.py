@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import indicators as ind
+from ..operators import charts
 from ..operators import classification as cls
 from ..operators import cross_section as xs
 from ..operators import labels as lab
@@ -522,3 +523,30 @@ _oracle(
  c AS (SELECT label, count(*) AS n, min(row(ts, symbol)) AS seen FROM l GROUP BY label), t AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () > 2 AND row_number() OVER (ORDER BY n, seen) = 1 AND n * 1.0 / sum(n) OVER () < 0.2 AS dropped FROM c)
  SELECT label, n AS initial_count, n * 1.0 / total AS initial_fraction, CASE WHEN dropped THEN 0 ELSE n END AS final_count, CASE WHEN dropped THEN 0 ELSE n * 1.0 / sum(CASE WHEN dropped THEN 0 ELSE n END) OVER () END AS final_fraction, dropped, CASE WHEN dropped THEN 1 END AS drop_step FROM t""",
 )
+
+
+# frames behind charts
+case(
+    "chart_cumulative_returns", "symbol ts strategy* benchmark*", lambda s, d: charts.cumulative_returns(fx.stream(s, d), volatility_matched=True, log=True),
+    f"SELECT symbol, ts, ln(product(1 + ret) {_RUN}) AS strategy, ln(product(1 + b) {_RUN}) AS benchmark FROM (SELECT *, bench * (stddev_samp(ret) OVER (PARTITION BY symbol) / nullif(stddev_samp(bench) OVER (PARTITION BY symbol), 0)) AS b FROM {S}) AS x",
+)
+case("chart_eoy_returns", "symbol year# ret*", lambda s, d: charts.eoy_returns(fx.stream(s, d)), f"SELECT symbol, year(ts) AS year, product(1 + ret) - 1 AS ret FROM {S} GROUP BY 1, 2")
+_M = ORACLES["aggregate_returns_M"].split("FROM (", 1)[1].rsplit(") AS shaped", 1)[0]
+case("chart_monthly_distribution", "symbol bin* n#", lambda s, d: charts.monthly_distribution(fx.stream(s, d), width=0.013), f"SELECT symbol, floor(ret / 0.013::DOUBLE) * 0.013::DOUBLE AS bin, count(*) AS n FROM ({_M}) AS m GROUP BY 1, 2")
+case("chart_active_returns", "symbol ts active*", lambda s, d: charts.active_returns(fx.stream(s, d)), f"SELECT symbol, ts, ret - bench AS active FROM {S}")
+case(
+    "chart_rolling_betas", "symbol ts beta_126* beta_252*", lambda s, d: charts.rolling_betas(fx.stream(s, d)),
+    "SELECT symbol, ts, " + ", ".join(f"CASE WHEN count(ret) {_w(n)} >= {n} THEN covar_samp(ret, bench) {_w(n)} / nullif(var_samp(bench) {_w(n)}, 0) END AS beta_{n}" for n in (126, 252)) + f" FROM {S}",
+)
+_DETAILS = ORACLES["drawdown_details"].split("FROM (", 1)[1].rsplit(") AS shaped", 1)[0]
+case("chart_worst_drawdowns", "symbol no# start valley days# max_drawdown*", lambda s, d: charts.worst_drawdowns(fx.stream(s, d)), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY max_drawdown, start) AS no FROM ({_DETAILS}) AS q) AS z WHERE no <= 5")
+case(
+    "chart_factor_contributions", "symbol ts bench_total*", lambda s, d: charts.cumulative_contributions(fx.stream(s, d), ["bench"]),
+    f"SELECT symbol, ts, sum(b * bench) {_RUN} AS bench_total FROM (SELECT *, regr_slope(ret, bench) OVER (PARTITION BY symbol) AS b FROM {S}) AS x",
+)
+case("chart_trade_markers", "symbol ts price* kind", lambda s, d: charts.trade_markers(fx.trades(s, d)), f"SELECT symbol, entry_time AS ts, entry_price AS price, 'entry' AS kind FROM {T_} UNION ALL SELECT symbol, exit_time, exit_price, 'exit' FROM {T_}")
+case(
+    "chart_label_markers", "symbol ts close* label#", lambda s, d: charts.label_markers(fx.daily(s, d), lab.fixed_horizon(fx.daily(s, d).select("symbol", "ts", "close"), horizon=5, threshold=0.05)),
+    f"SELECT symbol, ts, close, CASE WHEN r > 0.05 THEN 1 WHEN r < -0.05 THEN -1 ELSE 0 END AS label FROM (SELECT *, lead(close, 5) OVER ({P}) / close - 1 AS r FROM {D}) AS x WHERE r IS NOT NULL",
+)
+case("chart_trade_distribution", "exit_reason n# p0* p25* p50* p75* p100*", lambda s, d: charts.trade_distribution(fx.trades(s, d), "exit_reason"), "SELECT exit_reason, count(*) AS n, " + ", ".join(f'quantile_cont("return", {q / 100!r}) AS p{q}' for q in (0, 25, 50, 75, 100)) + f" FROM {T_} GROUP BY 1")

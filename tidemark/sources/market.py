@@ -104,6 +104,25 @@ def write_table(df: DataFrame, name: str) -> None:
     df.write.mode("append").saveAsTable(checked_name(name))
 
 
+#: Daily files of trades as exchanges publish them.
+TRADES = "id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean"
+
+
+def landed_trades(spark: SparkSession, symbol: str, start: str, end: str, folder: str) -> DataFrame:
+    """Trades of landed files {folder}/{symbol}-trades-{day}.csv with their time as datetime; days without a file are left out. Downloading
+    them is somebody else's work."""
+    there = [p for p in (f"{folder}/{symbol}-trades-{d}.csv" for d in date_range(start, end)) if exists(spark, p)]
+    if not there:
+        raise FileNotFoundError(f"no data for {symbol} from {start} to {end}")
+    return spark.read.option("header", True).schema(TRADES).csv(there).withColumn("datetime", F.timestamp_millis("time"))
+
+
+def read_bars(spark: SparkSession, symbols: Sequence[str], start: str, end: str, interval: str, folder: str) -> tuple[DataFrame | None, dict[str, str]]:
+    """(bars of each symbol's landed trades, each day by itself; why symbols are missing)."""
+    ticks, failed = read_many(symbols, lambda s: landed_trades(spark, s, start, end, folder))
+    return (daily_bars(ticks, interval, tie="id") if ticks is not None else None), failed
+
+
 def checked_name(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
         raise ValueError(f"not a table name: {name}")

@@ -55,6 +55,7 @@ class Run:
     def __enter__(self) -> "Run":
         self.started = datetime.datetime.now()
         self._state("running", None)
+        _ACTIVE.append(self)
         return self
 
     def _state(self, status: str, ended) -> None:
@@ -77,6 +78,7 @@ class Run:
         return path
 
     def __exit__(self, kind, *_) -> None:
+        _ACTIVE.remove(self)
         if self.held:
             self.tracker._append("values", self.held, VALUES)
         self._state("failed" if kind else "finished", datetime.datetime.now())
@@ -120,3 +122,51 @@ def render(template: str, df: DataFrame, variables: list[str]) -> DataFrame:
             parts.append(F.col(name).cast("string"))
     prompt = F.concat(*parts)
     return df.withColumn("prompt", prompt).withColumn("prompt_hash", F.sha2(prompt, 256))
+
+
+_ACTIVE: list[Run] = []
+
+
+def active_run() -> Run | None:
+    """The innermost run that has begun and not ended."""
+    return _ACTIVE[-1] if _ACTIVE else None
+
+
+def run(spark: SparkSession, name: str, path: str, tags: dict | None = None) -> Run:
+    return LocalTracker(spark, path).run(name, tags)
+
+
+def parsed(df: DataFrame, schema: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows whose text is JSON of the schema, with its fields as `value`; the others)."""
+    bad = "__corrupt"
+    made = F.from_json(text, f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = df.withColumn("value", made)
+    wrong = F.col("value").isNull() | F.col(f"value.{bad}").isNotNull()
+    return rows.where(~wrong).withColumn("value", F.col("value").dropFields(bad)), rows.where(wrong).drop("value")
+
+
+def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The last row of each key: an append-only table read as one that is updated."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
+
+
+class ToolRegistry:
+    """Functions that may be called from SQL, and no others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+
+    def add(self, name: str, work: Callable, returns: str = "string") -> None:
+        if name in self.names:
+            raise ValueError(f"there is a tool {name}")
+        self.spark.udf.register(name, work, returns)
+        self.names.append(name)
+
+    def call(self, df: DataFrame, name: str, *columns: str, out: str = "result") -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        return df.withColumn(out, F.call_udf(name, *(F.col(c) for c in columns)))
+
+
+def truncated(df: DataFrame, ids: str = "ids", most: int = 512) -> DataFrame:
+    return df.withColumn(ids, F.slice(ids, 1, most))
