@@ -22,6 +22,7 @@ from ..operators import vector as vec
 from ..operators import weights as wts
 from ..sources import market
 from . import fixtures as fx
+from . import smoothing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -468,6 +469,7 @@ _SIMPLE["RSI"] = (
     + " SELECT n.symbol, n.ts, 100 * ea.v / nullif(ea.v + eb.v, 0) AS real FROM n LEFT JOIN ea ON ea.symbol = n.symbol AND ea.k = n.k - 1 LEFT JOIN eb ON eb.symbol = n.symbol AND eb.k = n.k - 1"
 )
 _SIMPLE["pta_rsi"] = _SIMPLE["RSI"]
+_SIMPLE |= smoothing.catalog(fx.DAILY)
 _SIMPLE["CMO"] = _SIMPLE["RSI"].replace("100 * ea.v / nullif(ea.v + eb.v, 0) AS real", "200 * ea.v / nullif(ea.v + eb.v, 0) - 100 AS real")
 _SIMPLE["pta_cmo"] = _SIMPLE["CMO"]
 for _n, (_work, _outs) in recursive.CATALOG.items():
