@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType
 
-from .common import SPACES
+from .common import SPACES, small_batches, task
 
 #: Content bytes that a table holds before its bucket is partitioned again.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 FANOUT = 16
-_CLASS = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("points", pa.int64()), ("keep", pa.string()), ("copies", pa.int64()), ("times", pa.int64())])
+_GONE = dict.fromkeys(map(ord, SPACES))
+
+
+def squeezed(text: str) -> str:
+    return text.translate(_GONE)
 
 
 class OpenTable:
-    """Open addressing with linear probing; keys are equal only if their whole contents are.
+    """Open addressing with linear probing; keys are equal only if their whole contents are, white space apart.
 
-    An entry is [digest, content, points, id, copies, times]: the best row (most code points, then smallest id, a
+    An entry is [digest, content, points, id, copies, times, row]: the best row (most code points, then smallest id, a
     null id last) of those with the content, how many there are, and how often the best is repeated."""
 
     def __init__(self, slots: int = 1 << 10):
@@ -30,12 +34,12 @@ class OpenTable:
         last = len(self.slots) - 1
         at = int.from_bytes(digest[8:16], "big") & last
         while (e := self.slots[at]) >= 0:
-            if (x := self.entries[e])[0] == digest and x[1] == content:
+            if (x := self.entries[e])[0] == digest and (x[1] == content or squeezed(x[1]) == squeezed(content)):
                 break
             at = (at + 1) & last
         return at
 
-    def add(self, digest: bytes, content: str, points: int, key, copies: int, times: int) -> None:
+    def add(self, digest: bytes, content: str, points: int, key, copies: int, times: int, row) -> None:
         at = self._slot(digest, content)
         if (e := self.slots[at]) >= 0:
             x = self.entries[e]
@@ -43,21 +47,29 @@ class OpenTable:
             if points == x[2] and key == x[3]:
                 x[5] += times
             elif points > x[2] or points == x[2] and key is not None and (x[3] is None or key < x[3]):
-                x[2], x[3], x[5] = points, key, times
+                self.bytes += len(content) - len(x[1])
+                x[1], x[2], x[3], x[5], x[6] = content, points, key, times, row
             return
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, content, points, key, copies, times])
-        self.bytes += len(content) + 200
+        self.entries.append([digest, content, points, key, copies, times, row])
+        self.bytes += len(content) + 400
         if 2 * len(self.entries) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
+            last = len(self.slots) - 1
             for i, x in enumerate(self.entries):
-                last = len(self.slots) - 1
                 at = int.from_bytes(x[0][8:16], "big") & last
                 while self.slots[at] >= 0:
                     at = (at + 1) & last
                 self.slots[at] = i
 
 
+def _rows(batches, step: int = 512):
+    """The rows of record batches, a few at a time as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in b.slice(i, step).columns))
+
+
 def _batches(entries, schema: pa.Schema, limit: int = 4 << 20):
     """Record batches of some MB."""
     held, size = [], 0
@@ -127,6 +139,42 @@ def _nibble(digest: bytes, depth: int) -> int:
     return digest[16 + depth // 2] >> (4 * (depth % 2)) & 15
 
 
+def _squeezed(text_col: str):
+    return F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, "")
+
+
+def _points(text_col: str):
+    return F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+
+
+def classes_of(df: DataFrame, id_col: str, text_col: str, table_bytes: int, others: list[str] | None = None) -> DataFrame:
+    """(digest, content, points, keep, copies, times, row) of each different normalised text: content is the original text of the row that
+    stays, row a struct of its other columns where these are asked for; without them content is empty."""
+    numeric = isinstance(df.schema[id_col].dataType, LongType)
+    row = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
+    source = small_batches(df).select(
+        F.unhex(F.sha2(_squeezed(text_col), 256)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("content"), _points(text_col).alias("points"),
+        F.col(id_col).cast("long" if numeric else "string").alias("keep"), F.lit(1).cast("long").alias("copies"), F.lit(1).cast("long").alias("times"), row.alias("row"),
+    )
+    schema = to_arrow_schema(source.schema)
+    whole = bool(others)
+
+    def combine(batches):
+        held = OpenTable()
+        for x in _rows(batches):
+            held.add(*x)
+            if held.bytes > table_bytes:
+                yield from _batches(held.entries, schema)
+                held = OpenTable()
+        yield from _batches(held.entries, schema)
+
+    def classes(batches):
+        found = grace(_rows(batches), table_bytes, schema)
+        yield from _batches(found if whole else ([x[0], "", *x[2:]] for x in found), schema)
+
+    return source.mapInArrow(task(combine), source.schema).repartition(F.col("digest")).mapInArrow(task(classes), source.schema)
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Every row of `df` with keep_id, group_size, kept_rows, kept and text_sha256, in place of any columns so named.
 
@@ -141,48 +189,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     whose skewed partitions Spark may split."""
     made = ("keep_id", "group_size", "kept_rows", "kept", "text_sha256")
     rows = df.drop(*made)
-    squeezed = F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, "")
-    kind = df.schema[id_col].dataType
-    numeric = isinstance(kind, LongType)
-    schema = pa.schema([f if f.name != "keep" else pa.field("keep", pa.int64() if numeric else pa.string()) for f in _CLASS])
-    ddl = f"digest binary, content string, points long, keep {'long' if numeric else 'string'}, copies long, times long"
-    source = df.select(squeezed.alias("content"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"), F.col(id_col).cast("long" if numeric else "string").alias("keep"))
-
-    def combine(batches):
-        held = OpenTable()
-        for b in batches:
-            for content, points, key in zip(*(c.to_pylist() for c in b.columns)):
-                held.add(hashlib.sha256(content.encode()).digest(), content, points, key, 1, 1)
-                if held.bytes > table_bytes:
-                    yield from _batches(held.entries, schema)
-                    held = OpenTable()
-        yield from _batches(held.entries, schema)
-
-    def classes(batches):
-        entries = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        out = pa.schema([f for f in schema if f.name != "content"])
-        held = []
-        for x in grace(entries, table_bytes, schema):
-            held.append((x[0], *x[2:]))
-            if len(held) == 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), out)], schema=out)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), out)], schema=out)
-
-    found = (
-        source.mapInArrow(combine, ddl)
-        .repartition(F.col("digest"))
-        .mapInArrow(classes, f"digest binary, points long, keep {'long' if numeric else 'string'}, copies long, times long")
-        .select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep").cast(kind).alias("keep_id"), F.col("copies").alias("group_size"), F.col("times").alias("kept_rows"), F.col("points").alias("__points"))
+    found = classes_of(df, id_col, text_col, table_bytes).select(
+        F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep").cast(df.schema[id_col].dataType).alias("keep_id"), F.col("copies").alias("group_size"), F.col("times").alias("kept_rows"), F.col("points").alias("__points")
     )
-    joined = rows.withColumn("text_sha256", F.sha2(squeezed, 256)).join(found, "text_sha256")
-    return joined.select(*rows.columns, "keep_id", "group_size", "kept_rows", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__points"))).alias("kept"), "text_sha256")
+    joined = rows.withColumn("text_sha256", F.sha2(_squeezed(text_col), 256)).join(found, "text_sha256")
+    stays = F.col(id_col).eqNullSafe(F.col("keep_id")) & (_points(text_col) == F.col("__points"))
+    return joined.select(*rows.columns, "keep_id", "group_size", "kept_rows", stays.alias("kept"), "text_sha256")
 
 
-def kept_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with the columns of `df`: where rows repeat the id that stays, one of them."""
-    stays = exact_dedup(df, id_col, text_col).where("kept")
-    once = stays.where("kept_rows = 1").select(*df.columns)
-    again = stays.where("kept_rows > 1").dropDuplicates(["text_sha256"]).select(*df.columns)
-    return once.unionByName(again)
+def kept_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """One row of each group, with the columns of `df`; of rows that repeat the id that stays, one. The rows that stay come
+    out of their buckets, so each text is shuffled once. A null text comes out empty."""
+    others = [c for c in df.columns if c != text_col]
+    found = classes_of(df, id_col, text_col, table_bytes, others)
+    return found.select(*(F.col("content").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
