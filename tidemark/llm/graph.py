@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges")
     before = _print(edges)
     while before[0]:
-        edges = staged(_small(_large(edges)), "edges")
+        edges = staged(_small(_large(edges)), "edges", 2 * before[0])
         now = _print(edges)
         if now == before:
             break

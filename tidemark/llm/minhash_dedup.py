@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, chunks, documents_select, mix, staged, utf8
+from .common import Words, chunks, documents_select, kept, mix, staged, task, utf8
 from .graph import components
 
 SHINGLE = 5
@@ -91,7 +91,7 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     ["id", "n", "key", "roots", "sketch"],
                 )
 
-    return documents_select(df, id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n long, key binary, roots array<long>, sketch binary")
+    return documents_select(df, id_col, text_col).mapInArrow(task(run), f"id {kind.simpleString()}, n long, key binary, roots array<long>, sketch binary")
 
 
 def _by_group(batches, work, columns: int):
@@ -158,7 +158,7 @@ def _screened(rows: DataFrame) -> DataFrame:
                 out = ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
-    return rows.select("node", "tree", "key", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "tree int, node long, key binary")
+    return rows.select("node", "tree", "key", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(task(run), "tree int, node long, key binary")
 
 
 class Sets:
@@ -240,7 +240,7 @@ def _linked(rows: DataFrame, agree: int, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     cols = rows.select("node", "key", "comp", "sketch", "elements")
-    return cols.repartition("node").sortWithinPartitions("node").mapInArrow(run, "u binary, v binary")
+    return cols.repartition("node").sortWithinPartitions("node").mapInArrow(task(run), "u binary, v binary")
 
 
 def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -258,11 +258,11 @@ def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: in
                 columns = ([keys[n] for n in take], [sketch[n].tobytes() for n in take], [value[offsets[n] : offsets[n + 1]].tobytes() for n in take])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["key", "sketch", "elements"])
 
-    needed = staged(needed, "needed")
+    needed = kept(needed)
     if needed.count() <= BROADCAST:
         needed = F.broadcast(needed)
     texts = documents_select(df, id_col, text_col).join(needed, F.expr("id <=> rep")).select("key", "text")
-    return texts.mapInArrow(run, "key binary, sketch binary, elements binary")
+    return texts.mapInArrow(task(run), "key binary, sketch binary, elements binary")
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (4, 6))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(6)), pa.array((x != y).mean(axis=1))], [*_ROW, "pivot", "far"])
 
-    rows = staged(rows.select(*_ROW, "pivot", "pivot_sketch").mapInArrow(run, "tree int, node long, key binary, weight double, sketch binary, pivot binary, far double"), "nodes")
+    rows = staged(rows.select(*_ROW, "pivot", "pivot_sketch").mapInArrow(task(run), "tree int, node long, key binary, weight double, sketch binary, pivot binary, far double"), "nodes")
     core = staged(rows.where((F.col("far") <= 0.08) & (F.col("key") != F.col("pivot"))).select("key", "pivot").distinct(), "core")
     both = core.select("key").union(core.select("pivot")).distinct()
     sets = staged(_sets_of(df, both.join(reps, "key").select("rep", "key"), id_col, text_col, k), "sets")
@@ -304,7 +304,7 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
 
     once = sets.groupBy("key").agg(F.first("elements").alias("elements"))
     other = once.select(F.col("key").alias("pivot"), F.col("elements").alias("pivot_elements"))
-    edges = staged(core.join(once, "key").join(other, "pivot").select("key", "pivot", "elements", "pivot_elements").mapInArrow(compare, "u binary, v binary"), "links")
+    edges = staged(core.join(once, "key").join(other, "pivot").select("key", "pivot", "elements", "pivot_elements").mapInArrow(task(compare), "u binary, v binary"), "links")
     rows = rows.join(edges, (F.col("key") == F.col("u")) & (F.col("pivot") == F.col("v")), "left").withColumn("tied", F.col("u").isNotNull() | (F.col("key") == F.col("pivot"))).drop("u", "v")
     nearest = rows.where("not tied").groupBy("node").agg(F.min("far").alias("open"))
     left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.col("far") + (1 - threshold / 100) + 0.1 >= F.col("open")))
@@ -322,7 +322,7 @@ def _sizes(rows: DataFrame) -> DataFrame:
 def _leaves(sigs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: int, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """((tree, node, key, sketch) rows of leaves with two documents or more, edges found on the way)."""
     light = sigs.select("key", "weight", F.posexplode("roots").alias("tree", "token")).select("tree", F.xxhash64("tree", "token").alias("node"), "key", "weight")
-    rows = staged(light.join(_sizes(light), "node").drop("weight").join(sigs.select("key", "weight", "sketch"), "key").select(*_ROW, "size"), "nodes")
+    rows = kept(light.join(_sizes(light), "node").drop("weight").join(sigs.select("key", "weight", "sketch"), "key").select(*_ROW, "size"))
     leaves, edges = [rows.where(F.col("size") <= leaf).drop("size")], []
     level = 0
     while not (large := rows.where(F.col("size") > leaf)).isEmpty():
@@ -367,14 +367,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     these agree, whole sets. What the first trees join is not compared again in the others. No step holds
     more than a leaf in one task, drops anything from a node that could still have a link, or emits more edges
     than a leaf has documents."""
-    sigs = staged(_described(df, id_col, text_col, k), "signatures")
+    sigs = kept(_described(df, id_col, text_col, k))
     once = sigs.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(F.struct("roots", "sketch", (1 + F.col("n") / 1000).alias("weight"))).alias("s"))
     reps = staged(once.select("key", "rep", "s.*"), "reps")
     names = reps.select("key", "rep")
     leaves, edges = _leaves(reps, names, df, id_col, text_col, k, threshold, leaf, depth)
-    near = staged(_screened(leaves), "near")
+    near = kept(_screened(leaves))
     needed = near.select("key").distinct().join(reps, "key")
-    sets = staged(_sets_of(df, needed.select("rep", "key"), id_col, text_col, k), "sets")
+    sets = kept(_sets_of(df, needed.select("rep", "key"), id_col, text_col, k))
     first = near.where(F.col("tree") < FIRST).withColumn("comp", F.col("key"))
     edges.append(staged(_linked(first.join(sets, "key"), AGREE, threshold), "links"))
     found = staged(components(_union(edges)), "components")
