@@ -5,7 +5,7 @@ import pytest
 sentencepiece = pytest.importorskip("sentencepiece")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tidemark.llm.sentencepiece_bpe import decode, encode, load  # noqa: E402
+from tidemark.llm.sentencepiece_bpe import decode, encode, encode_decode, load  # noqa: E402
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 CASES = ["", " ", "  ", "   a", "  a  b ", "a\tb\nc\n\n d", "ＡＢ é é \x00x", "▁a", "▁", "a▁▁b", "hello \U0001f600\U0001f600 z​", "a ", "<s> </s> <unk> <0x0A>",
@@ -49,4 +49,6 @@ def test_rows(spark, library):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted([(r.id, r.text) for r in got], key=key) == sorted([(r[0], library.decode(library.encode(r[1] or ""))) for r in rows], key=key)
     assert {(r.id, tuple(r.ids)) for r in got if r.id} == {(r[0], tuple(library.encode(r[1]))) for r in rows if r[0]}
-    assert encode(df.limit(0), MODEL).collect() == []
+    both = encode_decode(df, MODEL).collect()
+    assert sorted([(r.id, tuple(r.ids), r.text) for r in both], key=str) == sorted([(r.id, tuple(r.ids), r.text) for r in got], key=str)
+    assert encode(df.limit(0), MODEL).collect() == [] == encode_decode(df.limit(0), MODEL).collect()

@@ -11,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, documents_select, list_array, utf8
+from .common import chunks, documents_select, list_array, task, utf8
 
 SPACE = "▁"
-#: Chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Chunks that a task remembers; beyond it the memory starts anew.
+REMEMBERED = 250_000
+#: Pairs of pieces that a worker remembers to be compatible or not, likewise.
+PAIRS = 500_000
 #: A chunk with more characters is not remembered.
 SHORT = 64
 #: A run of spaces with a word, a line break, or spaces at an end. No piece crosses these, so each is encoded alone.
@@ -76,7 +78,7 @@ class Bpe:
         """Whether the two pieces, side by side, are what their text is encoded as."""
         key = left, right
         if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self.merged(left + right) == [left, right]
         return known
@@ -187,18 +189,33 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     result; other columns are not read. model_file is read on each executor."""
     kind = df.schema[id_col].dataType
 
+    return documents_select(df, id_col, text_col).mapInArrow(task(_encoder(model_file, False)), f"id {kind.simpleString()}, ids array<int>")
+
+
+def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): decode(encode()), in one worker."""
+    kind = df.schema[id_col].dataType
+    return documents_select(df, id_col, text_col).mapInArrow(task(_encoder(model_file, True)), f"id {kind.simpleString()}, ids array<int>, text string")
+
+
+def _encoder(model_file: str, back: bool):
     def run(batches):
         bpe = load(model_file)
         for b in batches:
             raw = utf8(b.column(1))
             for i, j in chunks(raw):
-                flat, ends = [], [0]
+                flat, ends, texts = [], [0], []
                 for t in raw[i:j]:
-                    flat.extend(bpe.encode(t.decode()))
+                    ids = bpe.encode(t.decode())
+                    flat.extend(ids)
                     ends.append(len(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), list_array(np.array(flat, np.int32), np.array(ends, np.int32))], ["id", "ids"])
+                    if back:
+                        texts.append(bpe.decode(ids))
+                columns = [b.column(0).slice(i, j - i), list_array(np.array(flat, np.int32), np.array(ends, np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["id", "ids", "text"]) if back else pa.RecordBatch.from_arrays(columns, ["id", "ids"])
+        bpe.memory.clear()  # the worker outlives the task
 
-    return documents_select(df, id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, ids array<int>")
+    return run
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -213,4 +230,4 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = [bpe.decode(flat[s:e].tolist()) for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(texts, pa.string())], ["id", "ids", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, text string")
+    return encoded.select("id", "ids").mapInArrow(task(run), f"id {kind.simpleString()}, ids array<int>, text string")
