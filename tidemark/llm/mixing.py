@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, staged
+from .common import WORD, kept
 
-#: Blocks that a source's documents are dealt into, and output shards.
-BLOCKS = 1024
-SHARDS = 32
+#: Output shards, and blocks that a source's documents are dealt into: at least so many, and more as there are more words.
+SHARDS, BLOCKS = 32, 1024
+WORDS_A_SHARD, BLOCKS_A_SHARD = 2_000_000, 8
 CAP = 3
 #: Sources whose totals the driver holds: some hundred bytes each.
 MOST_SOURCES = 1_000_000
@@ -54,7 +54,7 @@ def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int = SHARDS, cap: int = CAP, seed: int = 17) -> DataFrame:
+def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None, shards: int | None = None, cap: int = CAP, seed: int = 17) -> DataFrame:
     """(row, id, source, size, source_size, target, copies, taken, shard): one row for each row of `df`; row is a
     hash of id, source and text that names the row, copies how often the mix takes the whole of it, taken the words of
     all copies, shard the output shard of its first copy.
@@ -66,7 +66,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     blocks among shards; shards get disjoint runs of the permutation.
 
     Rows that repeat id, source and text are one document whose sizes add up and that is taken or left as one. Null ids,
-    sources and texts are values like others. A source without words has target 0 and nothing taken. An empty
+    sources and texts are values like others. Shards and blocks are as many as the words ask for unless given. A source without words has target 0 and nothing taken. An empty
     table gives an empty result. Reruns with the same seed agree. The driver holds one number for each source and
     block: beyond MOST_SOURCES sources this raises ValueError."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -75,12 +75,15 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         F.col(id_col).cast(kind).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(text_col).alias("size"),
-    ).withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)).cast("int"))
-    rows = staged(rows, "mix")
+    )
+    rows = kept(rows)
     totals = rows.groupBy("source").agg(F.sum("size").cast("long").alias("size"))
     if (held := totals.limit(MOST_SOURCES + 1).collect()) and len(held) > MOST_SOURCES:
         raise ValueError("too many sources")
     own = {r.source: r["size"] for r in held}
+    shards = shards or max(SHARDS, sum(own.values()) // WORDS_A_SHARD)
+    blocks = blocks or max(BLOCKS, BLOCKS_A_SHARD * shards)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)).cast("int"))
     targets = shares(list(own.items()), cap)
     names = sorted(own, key=lambda s: (s is None, s or ""))
     spark = df.sparkSession
