@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, chunks, mix, ranges_hash, staged, utf8
+from .common import Words, chunks, list_array, mix, ranges_hash, small_batches, staged, task, utf8
 
 WINDOW = 35
 #: Words of a seed: the least length at which repetition is looked for, a quarter of a window.
@@ -46,11 +46,12 @@ class Windows:
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, size, text): key and size name the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.char_length(text).alias("size"), text.alias("text"))
+    return small_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.char_length(text).alias("size"), text.alias("text"))
 
 
 def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(key, size, pos, h, e) of each seed: its place in the text, its hash, and that of all words of windows around it."""
+    """(key, size, h, e, pos) of each different seed of a text: its hash, that of all words of windows around it, and its
+    places. A text that says one thing over and over has one row for it."""
 
     def run(batches):
         for b in batches:
@@ -66,12 +67,19 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 start, end = np.maximum(w.words.first[doc], at - (window - seed)), np.minimum(w.words.first[doc + 1], at + window)
                 with np.errstate(over="ignore"):
                     around = mix(ranges_hash(w.words.hash, start, end) + (at - start).astype(np.uint64) * _SALT)
+                h, pos = w.seeds[at], (at - w.words.first[doc]).astype(np.int32)
+                order = np.lexsort((pos, around, h, doc))
+                h, around, pos, doc = h[order], around[order], pos[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                doc = doc[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[i:j][doc]), pa.array(size[i:j][doc]), pa.array((at - w.words.first[doc]).astype(np.int32)), pa.array(w.seeds[at].view(np.int64)), pa.array(around.view(np.int64))],
-                    ["key", "size", "pos", "h", "e"],
+                    [pa.array(key[i:j][doc]), pa.array(size[i:j][doc]), pa.array(h[first].view(np.int64)), pa.array(around[first].view(np.int64)), list_array(pos, np.append(first, len(h)))],
+                    ["key", "size", "h", "e", "pos"],
                 )
 
-    return docs.select("key", "size", "text").mapInArrow(run, "key long, size int, pos int, h long, e long")
+    return docs.select("key", "size", "text").mapInArrow(task(run), "key long, size int, h long, e long, pos array<int>")
 
 
 def _states(raw: list[bytes], places, window: int, seed: int) -> tuple[Windows, np.ndarray]:
@@ -112,7 +120,7 @@ def _asked(held: DataFrame, window: int, seed: int) -> DataFrame:
                     ["h1", "h2", "key", "size", "p", "ask"],
                 )
 
-    return held.select("key", "size", "text", "places").mapInArrow(run, "h1 long, h2 long, key long, size int, p int, ask boolean")
+    return held.select("key", "size", "text", "places").mapInArrow(task(run), "h1 long, h2 long, key long, size int, p int, ask boolean")
 
 
 def _cut(held: DataFrame, window: int, seed: int) -> DataFrame:
@@ -142,7 +150,7 @@ def _cut(held: DataFrame, window: int, seed: int) -> DataFrame:
                     kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["key", "size", "n_removed", "kept"])
 
-    return held.select("key", "size", "text", "places", "starts").mapInArrow(run, "key long, size int, n_removed long, kept string")
+    return held.select("key", "size", "text", "places", "starts").mapInArrow(task(run), "key long, size int, n_removed long, kept string")
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -156,7 +164,7 @@ def _whole(docs: DataFrame) -> DataFrame:
                 own = [t.split() for t in raw[i:j]]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array([len(x) for x in own], pa.int64()), pa.array([b" ".join(x).decode() for x in own], pa.string())], ["id", "key", "size", "n_words", "words"])
 
-    return docs.mapInArrow(run, f"id {kind}, key long, size int, n_words long, words string")
+    return docs.mapInArrow(task(run), f"id {kind}, key long, size int, n_words long, words string")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -177,14 +185,15 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their length, windows by 128 bits, seeds and spans by 64."""
     docs = _keyed(df, id_col, text_col)
     seeds = _seeds(docs, window, seed)
-    twice = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    twice = seeds.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("h")
     again = staged(seeds.join(twice, "h"), "seeds")
-    spans = again.groupBy("h", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "size", "pos")).alias("first"))
+    spans = again.groupBy("h", "e").agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("key", "size")).alias("first"))
     alone = spans.where("n = 1").select(F.col("h").alias("open")).distinct()
     spans = spans.join(alone, F.col("h") == F.col("open"), "left")
     told = again.join(spans, ["h", "e"])
-    one = F.struct("key", "size", "pos") == F.col("first")
-    state = F.when(F.col("n") == 1, ASK).when(F.col("open").isNotNull() & one, TELL).otherwise(SETTLED)
+    one = F.struct("key", "size") == F.col("first")
+    told = told.select("key", "size", "n", (F.col("open").isNotNull() & one).alias("tells"), F.posexplode("pos").alias("nth", "pos"))
+    state = F.when(F.col("n") == 1, ASK).when(F.col("tells") & (F.col("nth") == 0), TELL).otherwise(SETTLED)
     places = told.select("key", "size", (F.col("pos").cast("long") * 4 + state).alias("place")).groupBy("key", "size").agg(F.collect_set("place").alias("places"))
     owner = docs.groupBy("key", "size").agg(F.min("id").alias("owner"))
     held = docs.join(places.join(owner, ["key", "size"]), ["key", "size"]).where(F.col("id").eqNullSafe(F.col("owner")))
