@@ -32,8 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document of the mixture."""
-    model = piece_model()
-    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model), model)
+    both = sentencepiece_bpe.encode_decode(docs, piece_model())
     return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

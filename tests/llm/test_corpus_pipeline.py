@@ -61,3 +61,18 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "a b c d e f", "en", None, 11), (3, "same text here now five six", "en", "a", 27), (3, "same text here now five six", "en", "a", 27), (4, "Same  text here now five six", "en", "b", 28), (5, "long words " * 60_000, "en", "b", 1), (6, " \n ", None, "a", 3)]
+    at = str(tmp_path)
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, size double")
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(3, 1), (None, 0), (5, None)], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, at).collect(), docs.schema)
+        assert docs.columns == columns
+    assert {r.doc_id for r in docs.collect()} <= {None, 3, 4, 5}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() == docs.count()

@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The six characters that separate words: space, tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step handles; keeps a worker's temporaries to some tens of MB.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Rows of a few numbers that a file holds, where their number is known.
+ROWS_A_FILE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, of which Python workers get so many rows at a time: with whole texts, Spark's 10,000 are tens of MB that the JVM
+    and each worker of an executor hold together."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,16 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+def staged(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Writes `df` once in the shared folder and reads it back, which cuts its lineage: a lost executor
-    costs a reread, not a recomputation. The folder goes when the driver ends."""
+    costs a reread, not a recomputation. The folder goes when the driver ends. rows: how many there are at most, where
+    that is known; then it is written in as many files as these need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(functools.partial(discard, spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, computed once and held on the executors' disks. For what few steps lie before: partitions that go with a lost
+    executor are computed again. The session's clearCache() lets go of it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,6 +69,22 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
+def task(run):
+    """`run` for mapInArrow; when a task ends, its worker, which waits for more, gives back memory that it no longer uses."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null as empty."""
     binary = {pa.large_string(): pa.large_binary()}.get(column.type, pa.binary())
@@ -88,7 +124,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below at least `size`."""
-    return _powers(1 << max(21, int(size).bit_length()))
+    return _powers(1 << max(20, int(size).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,4 +168,4 @@ def list_array(values: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
 
 def documents_select(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text, null as empty, under names that no other column can clash with."""
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return small_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, chunks, staged, utf8
+from .common import Words, chunks, small_batches, staged, task, utf8
 
 #: What is measured of a text; each is transformed so that its distribution has no long tail.
 FEATURES = ("upper", "marks", "strange", "bangs", "bars", "digits", "repeats", "distinct", "commonest", "length", "spread", "lines", "lone", "words")
@@ -90,7 +90,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, *(b.column(c).slice(i, j - i) for c in range(2, b.num_columns))], ["id", "features", *keep])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(run, f"id {kind}, features array<double>{', ' + ddl if ddl else ''}")
+    return small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(task(run), f"id {kind}, features array<double>{', ' + ddl if ddl else ''}")
 
 
 @dataclass
@@ -129,7 +129,7 @@ def moments(labelled: DataFrame, label_col: str) -> dict[int, tuple[int, np.ndar
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([np.concatenate(v[1:]).tolist() for v in held.values()], pa.list_(pa.float64()))], ["k", "n", "s"])
 
-    parts = labelled.select("features", F.col(label_col).cast("int").alias("k")).mapInArrow(run, "k int, n long, s array<double>")
+    parts = labelled.select("features", F.col(label_col).cast("int").alias("k")).mapInArrow(task(run), "k int, n long, s array<double>")
     at = F.posexplode("s").alias("i", "v")
     total = F.sum("v")
     edge = F.when(F.col("i") < width, total).when(F.col("i") < width + p, F.min("v")).otherwise(F.max("v"))
@@ -185,7 +185,7 @@ def scored(features: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(model.score(x))], [*keep, "score"])
 
     ddl = ", ".join(f"`{c}` {features.schema[c].dataType.simpleString()}" for c in keep)
-    return features.select(*keep, "features").mapInArrow(run, f"{ddl}, score double")
+    return features.select(*keep, "features").mapInArrow(task(run), f"{ddl}, score double")
 
 
 def learnt(x: DataFrame, labels: DataFrame, id_col: str, label_col: str, fold, shrinkage: float) -> Discriminant:
@@ -223,4 +223,4 @@ def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for i, j in chunks(raw):
                 yield b.slice(i, j - i).filter(pa.array(model.score(statistics(raw[i:j])) >= 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(task(run), df.schema)

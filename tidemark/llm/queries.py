@@ -80,8 +80,7 @@ def piece_model() -> str:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_model()
-    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    both = sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), piece_model())
     return both.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import documents_select, small_batches, task, utf8
+
 # Fixed values of the format.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 NO_PREDICTOR, HORIZONTAL, FLOATING = 1, 2, 3
@@ -290,8 +292,6 @@ def payload(text: bytes) -> np.ndarray:
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compression: int = DEFLATE, predictor: int = NO_PREDICTOR, level: int = 1) -> DataFrame:
     """(id, n_bytes, media) for every row: its whole text, null as empty, as one TIFF page 64 samples wide in strips
     of 1,024 rows. Rows may repeat; an empty table gives an empty result; other columns are not read."""
-    from .common import documents_select, utf8
-
     kind = df.schema[id_col].dataType
 
     def run(batches):
@@ -305,7 +305,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(held)), pa.array([len(x) for x in raw[at : i + 1]], pa.int64()), pa.array(held, pa.binary())], ["id", "n_bytes", "media"])
                     held, size, at = [], 0, i + 1
 
-    return documents_select(df, id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n_bytes long, media binary")
+    return documents_select(df, id_col, text_col).mapInArrow(task(run), f"id {kind.simpleString()}, n_bytes long, media binary")
 
 
 PAGE = "page int, width int, height int, samples int, bits int, compression int, predictor int, layout string, parts int, mean double, deviation double, raster binary, error string"
@@ -349,5 +349,5 @@ def decode_pages(df: DataFrame, media_col: str = "media", keep: tuple[str, ...]
             if rows:
                 yield batch()
 
-    return df.select(*keep, media_col).mapInArrow(run, ddl)
+    return small_batches(df).select(*keep, media_col).mapInArrow(task(run), ddl)
 
