@@ -184,10 +184,6 @@ _ta("OBV", lambda: _OBV + [{"real": f"sum(__v) {o.run}"}])
 _ta("TRANGE", lambda: [PC, {"real": f"CASE WHEN pc IS NOT NULL THEN {TR} END"}])
 
 
-def _as(out: str, layers: Layers) -> Layers:
-    return layers[:-1] + [{out: layers[-1]["real"]}]
-
-
 # the second family: the same under its names, with its defaults
 for _n, _t, _d in (
     ("avgprice", "AVGPRICE", ()), ("ohlc4", "AVGPRICE", ()), ("hl2", "MEDPRICE", ()), ("medprice", "MEDPRICE", ()), ("hlc3", "TYPPRICE", ()), ("typprice", "TYPPRICE", ()), ("wcp", "WCLPRICE", ()), ("bop", "BOP", ()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.frames import BY, ORDER, ordered, ratio, running
+from ..functions.frames import BY, ORDER, ratio, running
 
 
 def trades_to_returns(trades: DataFrame, prices: DataFrame | None = None, price: str = "close", by=BY, order=ORDER) -> DataFrame:
@@ -82,7 +82,3 @@ def trade_stats(trades: DataFrame, by: str | None = None) -> DataFrame:
     )
     open_days = _open_days(rows, ["group"])
     return sums.join(open_days, "group").withColumn("exposure", ratio("__open", _days("__last", "__first"))).drop("__open", "__last", "__first")
-
-
-def ordered_trades(trades: DataFrame) -> DataFrame:
-    return trades.withColumn("trade_no", F.row_number().over(ordered(("symbol",), ("entry_time", "exit_time"))))

@@ -6,7 +6,7 @@ import datetime
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 TICKS = T.StructType([T.StructField("datetime", T.TimestampNTZType()), T.StructField("price", T.DoubleType()), T.StructField("qty", T.DoubleType())])
 BARS = "symbol string, datetime timestamp, open double, high double, low double, close double, volume double"
@@ -236,8 +236,3 @@ def column_subset(df: DataFrame, patterns: Sequence[str]) -> list[str]:
     from fnmatch import fnmatchcase
 
     return [c for c in df.columns if any(fnmatchcase(c, p) for p in patterns)]
-
-
-def ranged(time: str | Column, start: str, end: str) -> Column:
-    c = F.col(time) if isinstance(time, str) else time
-    return c.between(F.lit(start), F.lit(end))
