@@ -585,19 +585,19 @@ def fitted(y: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@indicator("pta_squeeze", "sqz", "on", "off")
+@indicator("pta_squeeze", "sqz", "squeeze_on", "squeeze_off")
 def squeeze(b: Bars, n: int = 20, k: float = 2.0, kc: float = 1.5, mom: int = 12) -> dict:
     m, sd = sma(b["close"], n), pd.Series(b["close"]).rolling(n).std(ddof=0).to_numpy()
     r = sma(true_range(b), n)
     inside = (m - k * sd > m - kc * r) & (m + k * sd < m + kc * r)
     outside = (m - k * sd < m - kc * r) & (m + k * sd > m + kc * r)
-    return {"sqz": sma(b["close"] - lag(b["close"], mom), 6), "on": inside.astype(float), "off": outside.astype(float)}
+    return {"sqz": sma(b["close"] - lag(b["close"], mom), 6), "squeeze_on": inside.astype(float), "squeeze_off": outside.astype(float)}
 
 
 @indicator("pta_squeeze_pro", "sqz", "wide", "normal", "narrow")
 def squeeze_pro(b: Bars, n: int = 20, k: float = 2.0) -> dict:
     s = {w: squeeze(b, n, k, w) for w in (2.0, 1.5, 1.0)}
-    return {"sqz": s[1.5]["sqz"], "wide": s[2.0]["on"], "normal": s[1.5]["on"], "narrow": s[1.0]["on"]}
+    return {"sqz": s[1.5]["sqz"], "wide": s[2.0]["squeeze_on"], "normal": s[1.5]["squeeze_on"], "narrow": s[1.0]["squeeze_on"]}
 
 
 @indicator("pta_vp", "price_low", "price_high", "volume_in")

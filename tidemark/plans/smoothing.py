@@ -30,6 +30,17 @@ class Graph:
     def rma(self, of: str, n: int) -> str:
         return self.ewm(of, n, f"(1.0::DOUBLE / {n})")
 
+    def summed(self, of: str, n: int) -> str:
+        """Wilder's running sum: the first n - 1 values, then each less an n-th of the sum."""
+        m = self._put(f"SELECT symbol, k, x, row_number() OVER (PARTITION BY symbol ORDER BY k) AS j FROM {of} WHERE x IS NOT NULL")
+        self.n += 1
+        e = f"t{self.n}"
+        self.parts.append(f"{e} AS (SELECT symbol, j, sum(x) OVER (PARTITION BY symbol ORDER BY j ROWS UNBOUNDED PRECEDING) AS v FROM {m} QUALIFY j = {n - 1} UNION ALL SELECT m.symbol, m.j, e.v - e.v / {n} + m.x FROM {e} AS e JOIN {m} AS m ON m.symbol = e.symbol AND m.j = e.j + 1)")
+        return self._put(f"SELECT o.symbol, o.k, e.v AS x FROM {of} AS o LEFT JOIN {m} AS m ON m.symbol = o.symbol AND m.k = o.k LEFT JOIN {e} AS e ON e.symbol = m.symbol AND e.j = m.j AND e.j >= {n}")
+
+    def total(self, of: str) -> str:
+        return self._put(f"SELECT symbol, k, sum(x) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS x FROM {of}")
+
     def mix(self, x: str, **of: str) -> str:
         """An expression over a.x, b.x, ... of relations at the same row."""
         names = list(of)
@@ -175,4 +186,43 @@ def catalog(source: str) -> dict[str, str]:
         r = g.mix(f"100 * {div('u.x', 'u.x + d.x')}", u=up, d=down)
         f = g.mix(f"100 * {div('r.x - l.x', 'h.x - l.x')}", r=r, l=g.win(r, "min(x)", k), h=g.win(r, "max(x)", k))
         out[name] = g.sql(fastk=f, fastd=g.win(f, "avg(x)", d))
+    for name in ("PLUS_DM", "MINUS_DM", "pta_plus_dm", "pta_minus_dm"):
+        g = graph()
+        out[name] = g.sql(real=g.summed(g.base(plus if "plus" in name.lower() else minus), 14))
+
+    def directions(g: Graph) -> tuple[str, str, str]:
+        tr = g.summed(g.base(TR), 14)
+        p, m = (g.mix(f"100 * {div('a.x', 'b.x')}", a=g.summed(g.base(x), 14), b=tr) for x in (plus, minus))
+        return p, m, g.mix(f"100 * {div('abs(a.x - b.x)', 'a.x + b.x')}", a=p, b=m)
+
+    for name in ("PLUS_DI", "MINUS_DI", "DX", "ADX", "ADXR", "pta_dx", "pta_adxr", "pta_adx"):
+        g = graph()
+        p, m, d = directions(g)
+        if name == "pta_adx":
+            out[name] = g.sql(adx=g.rma(d, 14), dmp=p, dmn=m)
+            continue
+        a = {"PLUS_DI": lambda: p, "MINUS_DI": lambda: m, "DX": lambda: d, "PTA_DX": lambda: d}.get(name.upper(), lambda: g.rma(d, 14))()
+        out[name] = g.sql(real=g.mix("(a.x + b.x) / 2", a=a, b=g.lag(a, 13)) if name.upper().endswith("ADXR") else a)
+    for name in ("ADOSC", "pta_adosc"):
+        g = graph()
+        t = g.total(g.base("coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume"))
+        out[name] = g.sql(real=g.mix("a.x - b.x", a=g.ewm(t, 1, "0.5::DOUBLE"), b=g.ewm(t, 1, "(2.0::DOUBLE / 11)")))
+    g = graph()
+    t = g.total(g.base("CASE WHEN pc IS NULL THEN volume ELSE sign(close - pc) * volume END"))
+    out["pta_aobv"] = g.sql(obv=t, obv_fast=g.ewm(t, 4), obv_slow=g.ewm(t, 12))
+    for name, widths in (("pta_squeeze", (1.5,)), ("pta_squeeze_pro", (2.0, 1.5, 1.0))):
+        g = graph()
+        c = g.base("close")
+        mean, sd, r = g.win(c, "avg(x)", 20), g.win(c, "stddev_pop(x)", 20), g.win(g.base(TR), "avg(x)", 20)
+        z = g.win(g.mix("a.x - b.x", a=c, b=g.lag(c, 12)), "avg(x)", 6)
+        test = lambda op, w: g.mix(f"CASE WHEN 2 * s.x {op} {w!r} * r.x THEN 1.0 ELSE 0.0 END", s=sd, r=r)
+        if name == "pta_squeeze":
+            out[name] = g.sql(sqz=z, squeeze_on=test("<", 1.5), squeeze_off=test(">", 1.5))
+        else:
+            out[name] = g.sql(sqz=z, wide=test("<", 2.0), normal=test("<", 1.5), narrow=test("<", 1.0))
+    g = graph()
+    c = g.base("close")
+    sd, d = g.win(c, "stddev_samp(x)", 14), g.base("close - pc")
+    up, down = (g.ewm(g.mix(f"CASE WHEN s.x IS NOT NULL THEN CASE WHEN d.x {op} 0 THEN s.x ELSE 0 END END", s=sd, d=d), 14) for op in (">", "<"))
+    out["pta_rvi"] = g.sql(real=g.mix(f"100 * {div('a.x', 'a.x + b.x')}", a=up, b=down))
     return out
