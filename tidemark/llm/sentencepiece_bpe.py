@@ -15,13 +15,17 @@ from .common import chunks, documents_select, list_array, task, utf8
 
 SPACE = "▁"
 #: Chunks that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Pairs of pieces that a worker remembers to be compatible or not, likewise.
 PAIRS = 500_000
 #: A chunk with more characters is not remembered.
 SHORT = 64
 #: A run of spaces with a word, a line break, or spaces at an end. No piece crosses these, so each is encoded alone.
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
+_CHUNK = re.compile(" *[^ \n]+|\n| +")
+#: The same where no piece has letters and other characters either: letters of a word, and what stands between them, are
+#: chunks of their own, of which there are fewer different ones.
+_FINER = re.compile(r" *[^\W\d_]+|\n| *(?:[^\w \n]|[\d_])+| +")
+_LETTER = re.compile(r"[^\W\d_]")
 
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
 
@@ -41,14 +45,16 @@ class Bpe:
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece crosses a word's start")
+        mixed = any(len(_LETTER.findall(p.replace(SPACE, ""))) not in (0, len(p.replace(SPACE, ""))) for p in self.ids)
+        self.chunks = (_CHUNK if mixed else _FINER).findall
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if p.strip(SPACE):
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
         self.spaces: dict[int, list[int]] = {}
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}
         #: The text of each id. A byte above 127 stands as the lone surrogate that surrogateescape turns into it.
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         for b, i in self.bytes.items():
@@ -58,6 +64,7 @@ class Bpe:
                 self.texts[i] = ""
             elif model.is_unknown(i):
                 self.texts[i] = " ⁇ "
+        self.texts = np.array(self.texts, object)
 
     def merged(self, text: str) -> list[str]:
         """The pieces left when the best adjacent pair (highest score, then leftmost) is merged again and again:
@@ -88,28 +95,23 @@ class Bpe:
         text[:e]: of the pieces that end at e, the only one that is compatible with the last piece before it."""
         n = len(text)
         last: list[str | None] = [None] * (n + 1)
-        ending: list[list[str]] = [[] for _ in range(n + 1)]
-        for end, piece in self.automaton.iter(text):
-            ending[end + 1].append(piece)
-        known, fits = self.compatible, self.fits
-        for e in range(1, n + 1):
-            for piece in ending[e]:
-                s = e - len(piece)
-                if s:
-                    before = last[s]
-                    ok = known.get((before, piece))
-                    if fits(before, piece) if ok is None else ok:
-                        last[e] = piece
-                        break
-                elif self._whole(piece):
-                    last[e] = piece
-                    break
-            else:
-                last[e] = text[e - 1]  # a character without a piece, or a space mark
+        known = self.compatible
+        for end, (piece, size) in self.automaton.iter(text):  # by their ends
+            if last[end + 1] is not None:
+                continue
+            s = end + 1 - size
+            if s:
+                key = last[s] or text[s - 1], piece
+                if (ok := known.get(key)) is None:
+                    ok = self.fits(*key)
+                if ok:
+                    last[end + 1] = piece
+            elif self._whole(piece):
+                last[end + 1] = piece
         out: list[int] = []
         e = n
         while e:
-            piece = last[e]
+            piece = last[e] or text[e - 1]  # a character without a piece, or a space mark
             if (i := self.ids.get(piece)) is not None:
                 out.append(i)
             else:
@@ -136,37 +138,43 @@ class Bpe:
             self.spaces[n] = [self.ids[p] for p in self.merged(SPACE * n)]
         return self.spaces[n]
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """The ids of a match of _CHUNK."""
-        body = text.lstrip(SPACE)
+    def chunk(self, text: str) -> list[int]:
+        """The ids of a chunk."""
+        body = text.lstrip(" ")
         k = len(text) - len(body)
         if not body:
-            return tuple(self.run(k))
+            return self.run(k)
         if k < 2:
-            return tuple(self.word(text))
+            return self.word(SPACE * k + body)
         ids = self.word(SPACE + body)
         # marks are joined to letters before they are joined to each other
-        return tuple(self.run(k - 1) + ids if ids[0] != self.ids[SPACE] else self.run(k) + ids[1:])
+        return self.run(k - 1) + ids if ids[0] != self.ids[SPACE] else self.run(k) + ids[1:]
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers, one after another."""
         if not text:
-            return []
-        memory, out = self.memory, []
-        for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE)):
-            ids = memory.get(c)
-            if ids is None:
-                ids = self.chunk(c)
+            return b""
+        parts = self.chunks(" " + text.replace(SPACE, " "))
+        memory = self.memory
+        found = list(map(memory.get, parts))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            c = parts[i]
+            if (ids := memory.get(c)) is None:
+                ids = np.array(self.chunk(c), "<i4").tobytes()
                 if len(c) <= SHORT:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
                     memory[c] = ids
-            out.extend(ids)
-        return out
+            found[i] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         """Pieces joined, space marks as spaces but for the dummy prefix, runs of bytes as UTF-8 with U+FFFD for
         each byte that is not part of a character."""
-        text = "".join(map(self.texts.__getitem__, ids))
+        text = "".join(self.texts[ids].tolist() if isinstance(ids, np.ndarray) else map(self.texts.__getitem__, ids))
         if len(ids) and self.pieces[ids[0]][:1] == SPACE:
             text = text[1:]
         if not text.isascii():
@@ -204,14 +212,9 @@ def _encoder(model_file: str, back: bool):
         for b in batches:
             raw = utf8(b.column(1))
             for i, j in chunks(raw):
-                flat, ends, texts = [], [0], []
-                for t in raw[i:j]:
-                    ids = bpe.encode(t.decode())
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                    if back:
-                        texts.append(bpe.decode(ids))
-                columns = [b.column(0).slice(i, j - i), list_array(np.array(flat, np.int32), np.array(ends, np.int32))]
+                ids = [np.frombuffer(bpe.packed(t.decode()), "<i4") for t in raw[i:j]]
+                texts = [bpe.decode(x) for x in ids] if back else []
+                columns = [b.column(0).slice(i, j - i), list_array(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["id", "ids", "text"]) if back else pa.RecordBatch.from_arrays(columns, ["id", "ids"])
         bpe.memory.clear()  # the worker outlives the task
 
@@ -227,7 +230,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
         for b in batches:
             ids = b.column(1)
             flat, at = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
-            texts = [bpe.decode(flat[s:e].tolist()) for s, e in zip(at[:-1], at[1:])]
+            texts = [bpe.decode(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(task(run), f"id {kind.simpleString()}, ids array<int>, text string")
