@@ -413,9 +413,9 @@ case("montecarlo_outcomes", "symbol terminal_mean* terminal_std* terminal_p50* d
 case("noise_test", "symbol sim# step# path*", lambda s, d: sim.noise_test(fx.stream(s, d), 5))
 case("variance_test", "symbol sim# step# path*", lambda s, d: sim.variance_test(fx.stream(s, d), 100, 5))
 case("confidence_band", "symbol step# lower* upper*", lambda s, d: sim.confidence_band(sim.noise_test(fx.stream(s, d), 20)))
-case("account_replay", "symbol ts reward* log_equity* log_peak* drawdown* total_cost* steps#", lambda s, d: sim.replay(fx.stream(s, d).withColumn("position", F.signum("bench")), cost=0.0013713).withColumns({"log_equity": F.ln("equity"), "log_peak": F.ln("peak")}),
+case("account_replay", "symbol ts reward* log_equity* log_peak* drawdown* total_cost* steps#", lambda s, d: sim.replay(fx.stream(s, d).withColumn("position", F.signum("bench")), cost=1 / 730).withColumns({"log_equity": F.ln("equity"), "log_peak": F.ln("peak")}),
      f"""SELECT symbol, ts, reward, ln(equity) AS log_equity, ln(peak) AS log_peak, equity / peak - 1 AS drawdown, sum(cost) {_RUN} AS total_cost, row_number() OVER ({P}) AS steps FROM (SELECT *, greatest(1.0, max(equity) {_RUN}) AS peak FROM (SELECT *, product(1 + reward) {_RUN} AS equity FROM (
- SELECT *, p * ret - cost AS reward FROM (SELECT *, 0.0013713 * abs(p - coalesce(lag(p) OVER ({P}), 0)) AS cost FROM (SELECT *, sign(bench) AS p FROM {S}) AS a) AS b) AS c) AS e) AS f""")
+ SELECT *, p * ret - cost AS reward FROM (SELECT *, (1.0::DOUBLE / 730) * abs(p - coalesce(lag(p) OVER ({P}), 0)) AS cost FROM (SELECT *, sign(bench) AS p FROM {S}) AS a) AS b) AS c) AS e) AS f""")
 
 # catalogs of indicators
 from ..functions import catalog  # noqa: E402
