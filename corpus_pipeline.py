@@ -9,6 +9,10 @@ from tidemark.llm.common import staged, table
 from tidemark.llm.queries import piece_model
 
 
+#: Near copies of the pipeline: hundredths of the union of their word shingles that are shared. op2 has 85, the operator's default.
+NEAR = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of those given, predicts to be good."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +25,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one of the least id."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("id").alias("__kept")).distinct()
+    kept = minhash_dedup.near_duplicates(docs, threshold=NEAR).where("kept").select(F.col("id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 

@@ -76,3 +76,19 @@ def test_odd_rows(spark, tmp_path):
         assert docs.columns == columns
     assert {r.doc_id for r in docs.collect()} <= {None, 3, 4, 5}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() == docs.count()
+
+
+def test_near_stage_drops_copies_between_80_and_85(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for g in range(150):
+        words = [f"g{g}x{i}" for i in range(104 + g % 20)]  # n shingles of 100 to 119, of which 10 or 11 are not the copy's
+        copy = [*words]
+        for at in rng.sample(range(10, 90, 10), 2):
+            copy[at] = "edit"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    both = [(sets(a), sets(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert all(0.80 <= len(a & b) / len(a | b) < 0.85 for a, b in both)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()}
+    assert got == {i for i, _ in rows[::2]}

@@ -93,3 +93,21 @@ def test_graph(spark):
     got = dict(graph.components(df).select("node", "root").collect())
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}, 2000: 2000, 2001: 2000}
     assert graph.components(df.where(F.lit(False))).collect() == []
+
+
+def test_shares_follow_the_threshold():
+    assert (M.agreement(85), M.agreement(80)) == (92, 84)
+    assert (M.trees(85), M.trees(80)) == (12, 15)
+    assert M.branching(85) * 85 + 85 == pytest.approx(100) and M.branching(80) * 80 + 80 == pytest.approx(100)
+
+
+@pytest.mark.parametrize("leaf", [4000, 20])
+def test_pairs_at_80(spark, leaf):
+    rng, rows = random.Random(9), []
+    for g in range(100):
+        base = [f"g{g}x{i}" for i in range(49)]  # one word changed: 40 of 50 shingles shared, 0.80
+        rows += [" ".join(base), " ".join([*base[:20], "edit", *base[21:]])]
+    rows = list(enumerate(rows))
+    got = run(spark, rows, threshold=80, leaf=leaf)
+    assert [r[2] for r in got] == [i - i % 2 for i, _ in rows]
+    assert all(r[3] for r in run(spark, rows, leaf=leaf))

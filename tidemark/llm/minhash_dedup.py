@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -10,15 +12,15 @@ from .common import Words, chunks, documents_select, kept, mix, staged, task, ut
 from .graph import components
 
 SHINGLE = 5
-#: Links have 100 * intersection >= THRESHOLD * union.
+#: Links have 100 * intersection >= threshold * union; the default.
 THRESHOLD = 85
-#: Independent trees, and those of the first round. A pair at the threshold stays together in one tree with a chance of 0.85 a level, and
-#: branching makes up for what is lost at deeper levels; of pairs that need three levels one in a million is in no leaf.
-TREES, FIRST = 12, 3
+#: Trees of the first round, and the most trees there can be.
+FIRST, MOST_TREES = 3, 64
 #: Bytes of a sketch, one of each minwise token.
 SKETCH = 128
-#: Agreement of sketches from which a pair is compared in full: four deviations below the threshold's 109, then three.
-AGREE, AGREE_LATER = 92, 98
+#: A pair is compared in full unless its sketches agree in fewer bytes than at the threshold by so many deviations; in the
+#: later trees by so many.
+DEVIATIONS, DEVIATIONS_LATER = 4, 2.67
 #: What a leaf holds at most, compared exhaustively: documents, and a thousand shingles count as one more.
 LEAF = 4000
 #: Levels after which a node is cut into blocks whose pairs are compared instead.
@@ -26,11 +28,35 @@ DEPTH = 12
 #: Rows of an id and a key, some MB, up to which texts are looked up where they are read instead of being shuffled.
 BROADCAST = 100_000
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(0, 2**63, TREES + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, TREES + SKETCH, np.uint64) * np.uint64(2)
+_A = _RNG.integers(0, 2**63, SKETCH + MOST_TREES, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**63, SKETCH + MOST_TREES, np.uint64) * np.uint64(2)
 _C = _RNG.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def agreement(threshold: int, deviations: float = DEVIATIONS) -> int:
+    """Bytes that the sketches of a pair at the threshold agree in, less so many binomial deviations."""
+    t = threshold / 100
+    return max(0, math.floor(SKETCH * t - deviations * math.sqrt(SKETCH * t * (1 - t))))
+
+
+def branching(threshold: int) -> float:
+    """The share of nodes with two children: with a chance of the threshold to stay together in each, a pair at the
+    threshold is expected in one child."""
+    return min(1.0, 100 / threshold - 1)
+
+
+def trees(threshold: int, missed: float = 3e-6) -> int:
+    """As many trees as it takes that of pairs at the threshold not more than `missed` are in no leaf at the second level below the
+    roots, if trees are independent."""
+    t, two = threshold / 100, branching(threshold)
+    lost = 0.0
+    for _ in range(2):
+        apart = 1 - t + t * lost
+        lost = (1 - two) * apart + two * apart * apart
+    apart = 1 - t + t * lost
+    return min(MOST_TREES, max(FIRST, math.ceil(math.log(missed) / math.log(apart)))) if 0 < apart < 1 else FIRST
+
+
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the different shingles of k words of each text, ascending; of a text of fewer words the
     whole sequence; 64 bits each."""
@@ -62,20 +88,20 @@ def set_keys(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] for i in range(len(offsets) - 1)]
 
 
-def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(value: np.ndarray, offsets: np.ndarray, n_trees: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(roots, sketch) of each set: its minwise token in each tree's root, in full, and SKETCH others as a byte each."""
     n = len(offsets) - 1
     full = np.flatnonzero(np.diff(offsets))
-    mins = np.zeros((n, TREES + SKETCH), np.uint64)
+    mins = np.zeros((n, SKETCH + n_trees), np.uint64)
     with np.errstate(over="ignore"):
         if len(full):
-            for j in range(TREES + SKETCH):
+            for j in range(SKETCH + n_trees):
                 mins[full, j] = np.minimum.reduceat(value * _A[j] + _B[j], offsets[:-1][full])
     mins = mix(mins)
-    return mins[:, :TREES], (mins[:, TREES:] & np.uint64(255)).astype(np.uint8)
+    return mins[:, SKETCH:], (mins[:, :SKETCH] & np.uint64(255)).astype(np.uint8)
 
 
-def _described(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _described(df: DataFrame, id_col: str, text_col: str, k: int, n_trees: int) -> DataFrame:
     """(id, n, key, roots, sketch) for every row."""
     kind = df.schema[id_col].dataType
 
@@ -84,8 +110,8 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             raw = utf8(b.column(1))
             for i, j in chunks(raw):
                 value, offsets = shingle_sets(raw[i:j], k)
-                roots, sketch = signatures(value, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, roots.size + 1, TREES), pa.int32()), pa.array(roots.ravel().view(np.int64)))
+                roots, sketch = signatures(value, offsets, n_trees)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, roots.size + 1, n_trees), pa.int32()), pa.array(roots.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(set_keys(value, offsets), pa.binary()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())],
                     ["id", "n", "key", "roots", "sketch"],
@@ -129,7 +155,7 @@ def _agreeing(sketch: np.ndarray, agree: int, group: np.ndarray | None = None):
         yield i + s, j + s, same[i, j]
 
 
-def _screened(rows: DataFrame) -> DataFrame:
+def _screened(rows: DataFrame, agree: int) -> DataFrame:
     """Of (tree, node, key, sketch) the rows with another in their node that agrees with them enough."""
 
     def work(group):
@@ -137,10 +163,10 @@ def _screened(rows: DataFrame) -> DataFrame:
         n = len(key)
         x = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
         if n == 2:
-            near = np.full(2, (x[0] == x[1]).sum() >= AGREE)
+            near = np.full(2, (x[0] == x[1]).sum() >= agree)
         else:
             near = np.zeros(n, bool)
-            for i, j, _ in _agreeing(x, AGREE):
+            for i, j, _ in _agreeing(x, agree):
                 near[i] = near[j] = True
         if near.any():
             take = np.flatnonzero(near).tolist()
@@ -265,12 +291,12 @@ def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: in
     return texts.mapInArrow(task(run), "key binary, sketch binary, elements binary")
 
 
-def _branch(rows: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, threshold: int) -> DataFrame:
     """The children of (node, key): by the token at the position that the node selects, and in a share of nodes by a
-    second one, so that 1 / 0.85 children are expected."""
+    second one, so that 100 / threshold children are expected."""
     at = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(SKETCH)).cast("int")
     token = lambda salt: F.xxhash64("node", F.lit(salt), F.substr("sketch", at(salt) + 1, F.lit(1)))
-    second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * (100 / THRESHOLD - 1))
+    second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * branching(threshold))
     children = F.when(second, F.array(token("a"), token("b"))).otherwise(F.array(token("a")))
     return rows.select("tree", F.explode(children).alias("node"), "key", "weight", "sketch")
 
@@ -279,7 +305,10 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     """(edges, rows left) of nodes that are too large: each picks a pivot; documents whose sketches all but equal its are
     compared with it in full. Those that are linked to it leave the node unless something there could be linked to
     them but not to the pivot: by the triangle inequality of Jaccard distances, only what is nearer to the pivot than the
-    threshold's distance and their own distance together, with a margin of a tenth for the sketch."""
+    threshold's distance and their own distance together, with a margin for the sketch. Sketches all but equal at half
+    the threshold's distance and a little; the margin is three deviations and a little of a sketch at the threshold."""
+    apart = 1 - threshold / 100
+    core_far, margin = apart * 8 / 15, 3.2 * math.sqrt(apart * (1 - apart) / SKETCH)
     pivot = rows.join(sizes, "node").groupBy("node").agg(F.min_by(F.struct("key", "sketch"), F.xxhash64("key", "node")).alias("p"))
     rows = rows.join(pivot.select("node", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "node")
 
@@ -289,7 +318,7 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(6)), pa.array((x != y).mean(axis=1))], [*_ROW, "pivot", "far"])
 
     rows = staged(rows.select(*_ROW, "pivot", "pivot_sketch").mapInArrow(task(run), "tree int, node long, key binary, weight double, sketch binary, pivot binary, far double"), "nodes")
-    core = staged(rows.where((F.col("far") <= 0.08) & (F.col("key") != F.col("pivot"))).select("key", "pivot").distinct(), "core")
+    core = staged(rows.where((F.col("far") <= core_far) & (F.col("key") != F.col("pivot"))).select("key", "pivot").distinct(), "core")
     both = core.select("key").union(core.select("pivot")).distinct()
     sets = staged(_sets_of(df, both.join(reps, "key").select("rep", "key"), id_col, text_col, k), "sets")
 
@@ -307,7 +336,7 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     edges = staged(core.join(once, "key").join(other, "pivot").select("key", "pivot", "elements", "pivot_elements").mapInArrow(task(compare), "u binary, v binary"), "links")
     rows = rows.join(edges, (F.col("key") == F.col("u")) & (F.col("pivot") == F.col("v")), "left").withColumn("tied", F.col("u").isNotNull() | (F.col("key") == F.col("pivot"))).drop("u", "v")
     nearest = rows.where("not tied").groupBy("node").agg(F.min("far").alias("open"))
-    left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.col("far") + (1 - threshold / 100) + 0.1 >= F.col("open")))
+    left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.col("far") + apart + margin >= F.col("open")))
     return edges, left.select(*_ROW)
 
 
@@ -332,7 +361,7 @@ def _leaves(sigs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_c
             leaves.append(_blocks(left, leaf))
             break
         level += 1
-        children = staged(_branch(left), "nodes")
+        children = staged(_branch(left, threshold), "nodes")
         rows = staged(children.join(_sizes(children), "node").select(*_ROW, "size"), "nodes")
         leaves.append(rows.where(F.col("size") <= leaf).drop("size"))
     return _union(leaves), edges
@@ -362,27 +391,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of its own. A null id comes after all others; rows that repeat an id are rows like any other, and those of a
     component's least id are all kept. An empty table gives an empty result; other columns are not read.
 
-    Rows of equal sets are one document. Each of TREES trees branches documents by their minwise token, again in nodes
+    Rows of equal sets are one document. Each of trees(threshold) trees branches documents by their minwise token, again in nodes
     of more than `leaf` documents, until nodes are leaves, whose pairs are all compared: first sketches, then, where
     these agree, whole sets. What the first trees join is not compared again in the others. No step holds
     more than a leaf in one task, drops anything from a node that could still have a link, or emits more edges
     than a leaf has documents."""
-    sigs = kept(_described(df, id_col, text_col, k))
+    sigs = kept(_described(df, id_col, text_col, k, trees(threshold)))
     once = sigs.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(F.struct("roots", "sketch", (1 + F.col("n") / 1000).alias("weight"))).alias("s"))
     reps = staged(once.select("key", "rep", "s.*"), "reps")
     names = reps.select("key", "rep")
     leaves, edges = _leaves(reps, names, df, id_col, text_col, k, threshold, leaf, depth)
-    near = kept(_screened(leaves))
+    near = kept(_screened(leaves, agreement(threshold)))
     needed = near.select("key").distinct().join(reps, "key")
     sets = kept(_sets_of(df, needed.select("rep", "key"), id_col, text_col, k))
     first = near.where(F.col("tree") < FIRST).withColumn("comp", F.col("key"))
-    edges.append(staged(_linked(first.join(sets, "key"), AGREE, threshold), "links"))
+    edges.append(staged(_linked(first.join(sets, "key"), agreement(threshold), threshold), "links"))
     found = staged(components(_union(edges)), "components")
     joined = found.select(F.col("node").alias("key"), "root")
     later = near.where(F.col("tree") >= FIRST).join(joined, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     mixed = later.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("node")
     later = later.join(mixed, "node")
-    more = _linked(later.join(sets, "key"), AGREE_LATER, threshold)
+    more = _linked(later.join(sets, "key"), agreement(threshold, DEVIATIONS_LATER), threshold)
     stars = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     final = components(more.unionByName(stars)).select(F.col("node").alias("key"), "root")
     whole = names.join(final, "key", "left").withColumn("root", F.coalesce("root", "key"))
