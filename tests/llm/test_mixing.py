@@ -44,3 +44,19 @@ def test_odd_rows(spark):
     assert sorted((r.id or 0, r.size) for r in got) == [(0, 0), (0, 2), (1, 0), (2, 0), (5, 3), (5, 3), (6, 50_000)]
     assert all(r.taken == 0 for r in got if r.source == "a")
     assert mixing.plan(df.limit(0)).collect() == [] and mixing.mix(df.limit(0)).collect() == []
+
+
+def test_shards_hold_their_quotas_of_an_upsampled_source(spark):
+    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.lit("hot").alias("source"))
+    docs = hot.unionByName(spark.range(4000, 4600).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("small").alias("source")))
+    blocks, shards, seed = 64, 8, 17
+    rows = mixing.plan(docs, blocks=blocks, shards=shards).withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks))).collect()
+    assert {r.copies for r in rows if r.source == "small"} == {3}
+    assert all(len(r.shards) == r.copies and r.shards[:1] == [r.shard][: r.copies] for r in rows)
+    held = {(r.source, r.block, n, s) for r in rows for n, s in enumerate(r.shards)}
+    names = ["hot", "small"]
+    quotas = np.array([len({(b, n) for o, b, n, _ in held if o == s}) for s in names])
+    want = mixing.split_quotas(quotas, shards, np.random.default_rng(seed))
+    assert [[sum(o == s and k == shard for o, _, _, k in held) for s in names] for shard in range(shards)] == want.tolist()
+    assert quotas[1] == 3 * blocks and want[:, 1].min() > 0
+    assert mixing.mix(docs, blocks=blocks, shards=shards).count() == sum(r.copies for r in rows)

@@ -55,15 +55,15 @@ def word_count(text: str):
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None, shards: int | None = None, cap: int = CAP, seed: int = 17) -> DataFrame:
-    """(row, id, source, size, source_size, target, copies, taken, shard): one row for each row of `df`; row is a
+    """(row, id, source, size, source_size, target, copies, taken, shard, shards): one row for each row of `df`; row is a
     hash of id, source and text that names the row, copies how often the mix takes the whole of it, taken the words of
-    all copies, shard the output shard of its first copy.
+    all copies, shards the output shard of each copy, shard that of the first.
 
     Size is the number of words of the whole text (null: none). A source is one block of each kind of hash, so that
     no step needs a source's rows together: documents are dealt into blocks by hash; a permutation by seed orders the
     blocks; whole rounds of all blocks and then the first blocks, as far as the target goes, are the source's quota.
     The block on the border is taken document by document in hash order, as far as the target goes. A tree of multivariate hypergeometric draws deals the
-    blocks among shards; shards get disjoint runs of the permutation.
+    blocks among shards; shards get disjoint runs of the rounds, one after another, in the order of the permutation.
 
     Rows that repeat id, source and text are one document whose sizes add up and that is taken or left as one. Null ids,
     sources and texts are values like others. Shards and blocks are as many as the words ask for unless given. A source without words has target 0 and nothing taken. An empty
@@ -95,7 +95,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
     spans = spans.withColumn("place", place)
     order = Window.partitionBy("source").orderBy("place", "block")
-    spans = spans.withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("nth", F.row_number().over(order) - 1)
+    spans = spans.withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("nth", F.row_number().over(order) - 1).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("source")))
     same = F.expr("source <=> s")
     spans = spans.join(F.broadcast(found.withColumnRenamed("source", "s")), same).drop("s")
     rest = F.col("target") - F.col("rounds") * F.col("source_size")
@@ -106,8 +106,11 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     upto = np.cumsum(counts, axis=0)
     dealt = spark.createDataFrame([(s, [int(x) for x in upto[:, i]]) for i, s in enumerate(names)], "s string, upto array<long>")
     spans = spans.join(F.broadcast(dealt), same).drop("s")
-    spans = spans.withColumn("shard", F.when(F.col("rounds") + F.col("here") > 0, F.size(F.filter("upto", lambda u: u <= F.col("nth")))))
-    spans = spans.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "rounds", "here", "rest", "shard")
+    # a copy's place is that of its block in its round; blocks without words may lie behind the last place
+    shard = lambda copy: F.least(F.size(F.filter("upto", lambda u: u <= copy * F.col("blocks") + F.col("nth"))), F.lit(shards - 1))
+    last = F.col("rounds") + (F.col("here") > 0).cast("int") - 1
+    spans = spans.withColumn("shards", F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("long"), last), shard)).otherwise(F.array().cast("array<int>")))
+    spans = spans.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "rounds", "here", "rest", "shards")
     rows = rows.join(spans, F.expr("source <=> s AND block = b")).drop("s", "b")
     # documents of a block on the border, in hash order; those of other blocks need no window
     edge = F.col("here") == 1
@@ -119,7 +122,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     rows = rows.where(~edge).withColumn("more", (F.col("here") == 2).cast("int")).unionByName(border)
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("more")).otherwise(F.lit(0))
     rows = rows.withColumn("copies", copies.cast("int"))
-    return rows.select("row", "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shard")
+    return rows.select("row", "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.get("shards", F.lit(0)).alias("shard"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -127,7 +130,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     each. Rows without words are never taken. Columns are those of `df`."""
     chosen = plan(df, id_col, text_col, source_col, **options)
     row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0")), F.coalesce(F.col(text_col), F.lit("\0")))
-    once = chosen.groupBy(F.col("row").alias("__row")).agg(F.max("copies").alias("__copies"), F.max("shard").alias("__shard")).where("__copies > 0")
+    once = chosen.groupBy(F.col("row").alias("__row")).agg(F.max("copies").alias("__copies"), F.max("shards").alias("__shards")).where("__copies > 0")
     rows = df.withColumn("__row", row).join(once, "__row")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rows = rows.select("*", F.posexplode("__shards").alias("__copy", "__shard"))
     return rows.withColumn("__place", F.xxhash64("__row", "__copy")).repartition(F.col("__shard"), F.col("__copy")).sortWithinPartitions("__shard", "__place").select(*df.columns)

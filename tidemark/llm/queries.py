@@ -48,7 +48,7 @@ def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "shard")
+    return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "shard", "shards")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
