@@ -107,6 +107,40 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filter": r"""
+WITH p AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, url, coalesce(rest, '') AS rest FROM p)),
+k AS (SELECT *, list_distinct(list_filter(
+        ['scheme:' || lower(regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), 'host:' || host]
+        || list_transform(string_split(host, '.'), lambda x: 'label:' || x)
+        || list_transform(string_split(path, '/'), lambda x: 'path:' || regexp_replace(x, '^[0-9]+', '0'))
+        || list_transform(string_split(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1), '&'), lambda x: 'query:' || split_part(x, '=', 1)), lambda x: x NOT LIKE '%:')) AS own FROM h),
+b AS (SELECT row_number() OVER () AS r, own, CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 'block' ELSE 'allow' END AS label
+      FROM k JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL),
+classes AS (SELECT label, count(*) AS own, sum(count(*)) OVER () AS total, count(*) OVER () AS several FROM b GROUP BY label),
+need AS (SELECT greatest(10, ceil(0.002 * count(*))) AS need FROM b),
+o AS (SELECT token, count(*) AS n, md5(string_agg(CAST(r AS VARCHAR), ',' ORDER BY r)) AS urls
+      FROM (SELECT r, unnest(own) AS token FROM b) GROUP BY token HAVING count(*) >= (SELECT need FROM need)),
+f AS (SELECT min(token) AS item FROM o GROUP BY urls),
+t AS (SELECT r, label, token AS item FROM (SELECT r, label, unnest(own) AS token FROM b) JOIN f ON item = token),
+c AS (SELECT [item] AS tokens, label FROM t
+      UNION ALL SELECT [x.item, y.item], x.label FROM t AS x JOIN t AS y ON x.r = y.r AND x.item < y.item
+      UNION ALL SELECT [x.item, y.item, z.item], x.label FROM t AS x JOIN t AS y ON x.r = y.r AND x.item < y.item JOIN t AS z ON x.r = z.r AND y.item < z.item),
+g AS (SELECT tokens, label, count(*)::DOUBLE AS hits, sum(count(*)) OVER (PARTITION BY tokens)::DOUBLE AS n FROM c GROUP BY tokens, label),
+v AS (SELECT tokens, label AS verdict, hits, n, own, total, hits / n AS share, round(hits / own / (hits / own + (n - hits) / (total - own)), 9) AS confidence
+      FROM g JOIN classes USING (label) WHERE several > 1 AND hits >= (SELECT need FROM need)),
+w AS (SELECT tokens, verdict, confidence, hits / total AS support, array_to_string(tokens, ' ') AS association FROM v
+      WHERE confidence >= 0.6 AND (share + 1.645 * 1.645 / (2 * n) - 1.645 * sqrt(share * (1 - share) / n + 1.645 * 1.645 / (4 * n * n))) / (1 + 1.645 * 1.645 / n) > own::DOUBLE / total),
+rules AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM w AS u WHERE u.verdict = w.verdict AND len(u.tokens) < len(w.tokens) AND u.confidence >= w.confidence AND list_has_all(w.tokens, u.tokens))),
+m AS (SELECT DISTINCT ON (url) url, verdict, confidence, association
+      FROM (SELECT DISTINCT url, own FROM k WHERE url IS NOT NULL) JOIN rules ON list_has_all(own, tokens)
+      ORDER BY url, confidence DESC, support DESC, association, verdict),
+d(says, rule, dom, start) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+l AS (SELECT host, path, max_by(struct_pack(rule := rule, says := says), len(rule)) AS best
+      FROM (SELECT DISTINCT host, path FROM h) JOIN d ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, start) GROUP BY host, path)
+SELECT k.page_id, k.host, k.path, l.best.rule AS rule, coalesce(l.best.says, m.verdict, 'allow') AS verdict, m.confidence AS confidence, m.association AS association
+FROM k LEFT JOIN l ON l.host = k.host AND l.path = k.path LEFT JOIN m ON m.url = k.url""",
     "op2_minhash_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
