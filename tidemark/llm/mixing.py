@@ -3,134 +3,293 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, kept
+from .common import WORD, kept, staged
 
-#: Output shards, and blocks that a source's documents are dealt into: at least so many, and more as there are more words.
+#: Output shards and blocks of a source: at least so many, and more as there are more words.
 SHARDS, BLOCKS = 32, 1024
-WORDS_A_SHARD, BLOCKS_A_SHARD = 2_000_000, 8
+WORDS_A_SHARD, WORDS_A_BLOCK = 50_000_000, 250_000
 CAP = 3
-#: Sources whose totals the driver holds: some hundred bytes each.
-MOST_SOURCES = 1_000_000
-
-
-def shares(totals: list[tuple[str | None, int]], cap: float = CAP) -> dict[str | None, float]:
-    """The target of each source: sources by code point, null last, weigh 1, 2, 3, 1, ...; they share the sum of all
-    totals by weight, none above `cap` times its own total, what is cut off being shared again by weight."""
-    order = sorted((s for s, _ in totals if s is not None)) + [s for s, _ in totals if s is None]
-    weight, own = {s: 1 + i % 3 for i, s in enumerate(order)}, dict(totals)
-    out: dict[str | None, float] = {}
-    left, free = float(sum(own.values())), list(order)
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] > cap * own[s]]
-        if not full:
-            out |= {s: unit * weight[s] for s in free}
-            break
-        for s in full:
-            out[s] = float(cap * own[s])
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
-
-
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """shards x sources: how many of each source's blocks each shard gets. The quotas at a node are split between its
-    two halves by a multivariate hypergeometric draw of the left half's share of all blocks, and so on to the shards."""
-    if shards == 1:
-        return quotas[None, :]
-    left = shards // 2
+#: Words before and behind a target's border whose documents are taken one by one, not as whole blocks.
+ZONE = 50_000
+#: Documents times words up to which the documents there that come nearest to the target are found exactly.
+EXACT = 200_000_000
+#: Groups of sources by hash that the tree is dealt in; segments that the order of a source's blocks has.
+GROUPS, SEGMENTS = 64, 4096
+#: Rows of a few numbers, some MB, up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST, SALTS = 100_000, 64
+#: What numpy draws exactly; larger populations are drawn by the normal distribution of the same mean and deviation.
+POPULATION = 10**9
+
+
+def _one(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of `good` are among n drawn of good + bad without replacement."""
+    total = good + bad
+    if total < POPULATION:
+        return int(rng.hypergeometric(good, bad, n)) if good and n else 0
+    mean = n * (good / total)
+    wide = (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    return int(min(max(round(rng.normal(mean, wide)), 0, n - bad), n, good))
+
+
+def draw(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate hypergeometric draw: how many of each kind are among n of all, drawn without replacement."""
     total = int(quotas.sum())
-    # a draw of n of all blocks without replacement, source by source
-    n, seen, part = total * left // shards, total, np.zeros_like(quotas)
-    for i, q in enumerate(quotas):
-        part[i] = rng.hypergeometric(q, seen - q, n) if n and q else 0
-        n, seen = n - part[i], seen - q
-    return np.concatenate((split_quotas(part, left, rng), split_quotas(quotas - part, shards - left, rng)))
+    if total < POPULATION:
+        return rng.multivariate_hypergeometric(quotas, n, method="marginals")
+    part = np.zeros_like(quotas)
+    for i, q in enumerate(quotas.tolist()):
+        total -= q
+        part[i] = _one(q, total, n, rng)
+        n -= int(part[i])
+    return part
+
+
+def split_quotas(quotas: np.ndarray, room: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, source, count) of counts above 0, by shard: how many of each source's blocks each shard gets. room: blocks of
+    each shard, as many in all as the quotas. The quotas at a node are split between its two halves by a multivariate
+    hypergeometric draw of the left half's room, and so on to the shards."""
+    ends = np.concatenate(([0], np.cumsum(room)))
+    out, open_ = [(np.zeros(0, np.int64),) * 3], [(0, len(room), np.arange(len(quotas)), np.asarray(quotas, np.int64))]
+    while open_:
+        lo, hi, who, q = open_.pop()
+        who, q = who[q > 0], q[q > 0]
+        if not len(q):
+            continue
+        if hi - lo == 1:
+            out.append((np.full(len(q), lo), who, q))
+            continue
+        mid = (lo + hi) // 2
+        part = draw(q, int(ends[mid] - ends[lo]), rng)
+        open_ += [(mid, hi, who, q - part), (lo, mid, who, part)]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def even(total: int, shards: int) -> np.ndarray:
+    """`total` blocks dealt evenly among shards."""
+    return np.diff(np.arange(shards + 1, dtype=object) * total // shards).astype(np.int64)
+
+
+def nearest(sizes: list[int], goal: int) -> np.ndarray:
+    """Which of the documents to take, so that their words come near to the goal and not above it: each that still fits, in the order
+    given, so that what is missing is less than any document left; if anything is missing and they are few, those that come nearest."""
+    take, left = np.zeros(len(sizes), bool), goal
+    for i, s in enumerate(sizes):
+        if s <= left:
+            take[i], left = True, left - s
+    if left <= 0 or take.all() or len(sizes) * goal > EXACT:
+        return take
+    first = np.full(goal + 1, -1, np.int32)  # the document by which a sum is first reached
+    first[0] = len(sizes)
+    for i, s in enumerate(sizes):
+        if s <= goal:
+            first[np.flatnonzero((first[: goal + 1 - s] >= 0) & (first[s:] < 0)) + s] = i
+    at = int(np.flatnonzero(first >= 0)[-1])
+    take[:] = False
+    while at:
+        take[first[at]] = True
+        at -= sizes[first[at]]
+    return take
 
 
 def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _named(id_col: str, text_col: str, source_col: str):
+    """(source's name, never null; 128 bits that name a row by id, source and text)."""
+    part = lambda c: F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    own, source = F.col(id_col).cast("string"), F.col(source_col).cast("string")
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("")), F.unhex(F.md5(F.concat(part(own), part(source), part(F.col(text_col)))))
+
+
+def source_targets(totals: DataFrame, cap: float = CAP) -> DataFrame:
+    """(key, source_size, target) of (key, source_size): sources by code point, the one named "" (null) last, weigh 1, 2, 3, 1, ...
+    and share the sum of all sizes by weight, none above `cap` times its own, what is cut off being shared again. `totals` is staged.
+
+    Sources are ranked in ranges of the order, and the share of one weight is found by sums over all sources, so there
+    may be any number of them."""
+    n = totals.count()
+    placed = totals.repartitionByRange(1 + n // 100_000, (F.col("key") == "").cast("int"), "key").withColumn("part", F.spark_partition_id())
+    placed = staged(placed, "sources")
+    counts = placed.groupBy("part").count().collect()  # some numbers, one for 100,000 sources
+    before, at = [], 0
+    for r in sorted(counts, key=lambda r: r.part):
+        before.append((r.part, at))
+        at += r["count"]
+    spark = totals.sparkSession
+    nth = F.row_number().over(Window.partitionBy("part").orderBy((F.col("key") == "").cast("int"), "key")) - 1
+    ranked = placed.withColumn("nth", nth).join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part")
+    ranked = staged(ranked.select("key", "source_size", (1 + (F.col("before") + F.col("nth")) % 3).alias("weight")), "ranked")
+    # a source whose cap is below its share at one unit is below it at all later, larger ones
+    unit, over = 0.0, F.lit(False)
+    whole = ranked.agg(F.sum("source_size")).first()[0] or 0
+    while True:
+        cut, free = ranked.agg(F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        found = (whole - cap * (cut or 0)) / free if free else unit
+        if found <= unit:
+            break
+        unit = found
+        over = F.col("source_size") * F.lit(cap) < F.lit(unit) * F.col("weight")
+    target = F.when(over, (F.col("source_size") * F.lit(cap)).cast("double")).otherwise(F.lit(unit) * F.col("weight"))
+    return ranked.select("key", "source_size", target.alias("target"))
+
+
+def _joined(rows: DataFrame, table: DataFrame, size: int, by: list[str], how: str = "inner") -> DataFrame:
+    """`table`, which has so many rows, is broadcast up to a bound; beyond it a table of sources is dealt to salts, so that no
+    source's rows meet in one task."""
+    if size <= BROADCAST:
+        return rows.join(F.broadcast(table), by, how)
+    if by == ["key"]:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.join(table, ["key", "salt"], how).drop("salt")
+    return rows.join(table, by, how)
+
+
+class Decided:
+    """What the mix takes: sources (key, source_size, target, blocks), blocks (key, block, rounds, whole, shards) and edge
+    (key, block, row) of the documents that are taken once more than their block; all staged tables."""
+
+    def __init__(self, rows: DataFrame, blocks: int | None, shards: int | None, cap: int, seed: int):
+        self.seed = seed
+        totals = staged(rows.groupBy("key").agg(F.sum("size").cast("long").alias("source_size")), "totals")
+        sources = source_targets(totals, cap)
+        of = F.lit(blocks).cast("long") if blocks else F.greatest(F.lit(BLOCKS).cast("long"), F.expr(f"source_size div {WORDS_A_BLOCK}"))
+        self.sources = staged(sources.withColumn("blocks", of), "targets")
+        self.n_sources, words = self.sources.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+        self.shards = shards or max(SHARDS, (words or 0) // WORDS_A_SHARD)
+        spans = staged(self._spans(rows), "spans")
+        zone = self._zone(rows, spans.where("edge"))
+        last = zone.groupBy("key", "block").agg(F.max("spot").alias("spot"))
+        self.edge = staged(zone.select("key", "block", "row"), "edge")
+        self.n_edge = self.edge.count()
+        # the place in the last, partial round of each block that it takes anything of
+        spans = spans.join(last, ["key", "block"], "left").withColumn("spot", F.when(F.col("whole"), F.col("nth")).otherwise(F.col("spot")))
+        rounds = F.when(F.col("rounds") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1), lambda r: r * F.col("n") + F.col("nth"))).otherwise(F.array().cast("array<long>"))
+        places = F.concat(rounds, F.when(F.col("spot").isNotNull(), F.array(F.col("rounds") * F.col("n") + F.col("spot"))).otherwise(F.array().cast("array<long>")))
+        spans = staged(spans.select("key", "block", "rounds", "whole", places.alias("places")), "places")
+        copies = spans.select("key", "block", F.posexplode("places").alias("copy", "place"))
+        dealt = copies.join(self._dealt(spans), ["key", "place"]).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).getField("shard").alias("shards"))
+        self.blocks = staged(spans.drop("places").join(dealt, ["key", "block"], "left"), "blocks")
+        self.n_blocks = self.blocks.count()
+
+    def block(self, rows: DataFrame) -> DataFrame:
+        """`rows` (key, row) with their source's columns and the block that their hash deals them to."""
+        rows = _joined(rows, self.sources, self.n_sources, ["key"])
+        return rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(self.seed)), F.col("blocks")))
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """`rows` (key, row, size) with source_size, target, copies and shards, an array as long."""
+        rows = self.block(rows)
+        rows = _joined(rows, self.blocks, self.n_blocks, ["key", "block"], "left")
+        rows = _joined(rows, self.edge.withColumn("more", F.lit(True)), self.n_edge, ["key", "block", "row"], "left")
+        copies = F.col("rounds") + (F.col("whole") | F.coalesce("more", F.lit(False))).cast("int")
+        rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.coalesce(copies, F.lit(0))).otherwise(F.lit(0)).cast("int"))
+        return rows.withColumn("shards", F.coalesce(F.slice("shards", F.lit(1), F.col("copies")), F.array().cast("array<int>"))).drop("block", "blocks", "rounds", "whole", "more")
+
+    def _spans(self, rows: DataFrame) -> DataFrame:
+        """(key, block, rounds, rest, before, nth, n, whole, edge) of each block with words: the words before it in its source's
+        permuted order and its number there, of n; whether the last round takes the whole of it or some of its documents.
+
+        The order is by segment and then by hash, so that running sums need the segments of a source or the blocks of a
+        segment together, never a source's blocks."""
+        rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        spans = self.block(rows.where("size > 0")).groupBy("key", "block").agg(F.sum("size").cast("long").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+        place = F.xxhash64("key", "block", F.lit(self.seed + 1))
+        spans = spans.withColumns({"rounds": rounds, "place": place, "segment": F.pmod(place, F.lit(SEGMENTS))})
+        spans = kept(spans)
+        segments = spans.groupBy("key", "segment").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("c"))
+        every, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("segment")
+        segments = segments.select("key", "segment", (F.sum("w").over(order) - F.col("w")).alias("w"), (F.sum("c").over(order) - F.col("c")).alias("c"), F.sum("c").over(every).alias("n"))
+        within = Window.partitionBy("key", "segment").orderBy("place", "block")
+        spans = spans.withColumns({"before": F.sum("words").over(within) - F.col("words"), "nth": F.row_number().over(within) - 1}).join(segments, ["key", "segment"])
+        rest = F.col("target") - F.col("rounds") * F.col("source_size")
+        spans = spans.withColumns({"before": F.col("before") + F.col("w"), "nth": F.col("nth") + F.col("c"), "rest": rest})
+        whole = F.col("before") + F.col("words") <= F.col("rest") - ZONE
+        return spans.select("key", "block", "rounds", "rest", "before", "nth", "n", whole.alias("whole"), (~whole & (F.col("rest") >= 1) & (F.col("before") < F.col("rest") + ZONE)).alias("edge"))
+
+    def _zone(self, rows: DataFrame, edge: DataFrame) -> DataFrame:
+        """(key, block, row, spot) of the documents around each border that are taken: bounded words of a source, in one task."""
+
+        def fill(docs: pd.DataFrame) -> pd.DataFrame:
+            docs = docs.sort_values(["nth", "spot", "row"], kind="stable")
+            goal = int(docs["rest"].iloc[0] - docs["before"].min())
+            first = int(docs["nth"].min())
+            docs = docs[nearest(docs["size"].tolist(), goal)]
+            docs["spot"] = first + docs["nth"].rank(method="dense").astype("int64") - 1
+            return docs[["key", "block", "row", "spot"]]
+
+        docs = _joined(self.block(rows.where("size > 0")), edge.select("key", "block", "rest", "before", "nth"), edge.count(), ["key", "block"])
+        once = docs.groupBy("key", "block", "row").agg(F.sum("size").alias("size"), *(F.first(c).alias(c) for c in ("rest", "before", "nth")))
+        once = once.withColumn("spot", F.xxhash64("row", F.lit(self.seed + 2)))
+        return kept(once.groupBy("key").applyInPandas(fill, "key string, block long, row binary, spot long"))
+
+    def _dealt(self, spans: DataFrame) -> DataFrame:
+        """(key, place, shard) of all places. Groups of sources are dealt among shards first, then the sources of each group
+        in a task of their own; a source's places go to shards in runs, one after another."""
+        quotas = spans.groupBy("key").agg(F.sum(F.size("places")).cast("long").alias("quota")).where("quota > 0").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int"))
+        quotas = staged(quotas, "quotas")
+        totals = np.zeros(GROUPS, np.int64)
+        for r in quotas.groupBy("group").agg(F.sum("quota").alias("n")).collect():
+            totals[r.group] = r.n
+        shards, seed = self.shards, self.seed
+
+        def deal(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("key")
+            group = int(own["group"].iloc[0])
+            shard, who, count = split_quotas(totals, even(int(totals.sum()), shards), np.random.default_rng(seed))
+            room = np.zeros(shards, np.int64)
+            room[shard[who == group]] = count[who == group]
+            shard, who, count = split_quotas(own["quota"].to_numpy(), room, np.random.default_rng([seed, group]))
+            by = np.lexsort((shard, who))
+            shard, who, count = shard[by], who[by], count[by]
+            ends = np.cumsum(count)
+            base = np.concatenate(([0], np.cumsum(own["quota"].to_numpy())))[who]
+            return pd.DataFrame({"key": own["key"].to_numpy()[who], "start": ends - count - base, "count": count, "shard": shard.astype(np.int32)})
+
+        runs = quotas.groupBy("group").applyInPandas(deal, "key string, start long, count long, shard int")
+        return runs.select("key", F.explode(F.expr("sequence(start, start + count - 1)")).alias("place"), "shard")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    key, row = _named(id_col, text_col, source_col)
+    return df.select(key.alias("key"), row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+
+
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None, shards: int | None = None, cap: int = CAP, seed: int = 17) -> DataFrame:
-    """(row, id, source, size, source_size, target, copies, taken, shard, shards): one row for each row of `df`; row is a
-    hash of id, source and text that names the row, copies how often the mix takes the whole of it, taken the words of
+    """(row, id, source, size, source_size, target, copies, taken, shard, shards): one row for each row of `df`; row is 128 bits
+    of id, source and text that name the row, copies how often the mix takes the whole of it, taken the words of
     all copies, shards the output shard of each copy, shard that of the first.
 
-    Size is the number of words of the whole text (null: none). A source is one block of each kind of hash, so that
-    no step needs a source's rows together: documents are dealt into blocks by hash; a permutation by seed orders the
-    blocks; whole rounds of all blocks and then the first blocks, as far as the target goes, are the source's quota.
-    The block on the border is taken document by document in hash order, as far as the target goes. A tree of multivariate hypergeometric draws deals the
-    blocks among shards; shards get disjoint runs of the rounds, one after another, in the order of the permutation.
+    Size is the number of words of the whole text (null: none). Documents are dealt into blocks of their source by hash, and a
+    permutation by seed orders the blocks; a source's quota is whole rounds of all its blocks and then the first blocks, as far as
+    its target goes. Within ZONE words of the border documents are taken one by one, those that fit, so that fewer words are
+    missing than any document left there has. A tree of multivariate hypergeometric draws deals the quotas among
+    shards; a source's copies of blocks go to them in disjoint runs, one after another, in the order of the permutation.
 
     Rows that repeat id, source and text are one document whose sizes add up and that is taken or left as one. Null ids,
-    sources and texts are values like others. Shards and blocks are as many as the words ask for unless given. A source without words has target 0 and nothing taken. An empty
-    table gives an empty result. Reruns with the same seed agree. The driver holds one number for each source and
-    block: beyond MOST_SOURCES sources this raises ValueError."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(
-        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0")), F.coalesce(F.col(text_col), F.lit("\0"))).alias("row"),
-        F.col(id_col).cast(kind).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(text_col).alias("size"),
-    )
-    rows = kept(rows)
-    totals = rows.groupBy("source").agg(F.sum("size").cast("long").alias("size"))
-    if (held := totals.limit(MOST_SOURCES + 1).collect()) and len(held) > MOST_SOURCES:
-        raise ValueError("too many sources")
-    own = {r.source: r["size"] for r in held}
-    shards = shards or max(SHARDS, sum(own.values()) // WORDS_A_SHARD)
-    blocks = blocks or max(BLOCKS, BLOCKS_A_SHARD * shards)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)).cast("int"))
-    targets = shares(list(own.items()), cap)
-    names = sorted(own, key=lambda s: (s is None, s or ""))
-    spark = df.sparkSession
-    found = spark.createDataFrame([(s, own[s], targets[s], int(targets[s] // own[s]) if own[s] else 0) for s in names], "source string, source_size long, target double, rounds int")
-    # how far each block reaches into its source, in the permuted order: at most `blocks` rows a source
-    spans = rows.groupBy("source", "block").agg(F.sum("size").cast("long").alias("words"))
-    place = F.xxhash64("source", "block", F.lit(seed + 1))
-    from pyspark.sql import Window
-
-    spans = spans.withColumn("place", place)
-    order = Window.partitionBy("source").orderBy("place", "block")
-    spans = spans.withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("nth", F.row_number().over(order) - 1).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("source")))
-    same = F.expr("source <=> s")
-    spans = spans.join(F.broadcast(found.withColumnRenamed("source", "s")), same).drop("s")
-    rest = F.col("target") - F.col("rounds") * F.col("source_size")
-    spans = spans.withColumn("rest", rest - F.col("before")).withColumn("here", F.when(F.col("rest") >= F.col("words"), 2).when(F.col("rest") > 0, 1).otherwise(0))
-    # quotas: blocks taken by each source, over all rounds
-    quota = {r.source: r.n for r in spans.groupBy("source").agg(F.sum(F.col("rounds") + (F.col("here") > 0).cast("int")).cast("long").alias("n")).collect()}
-    counts = split_quotas(np.array([quota[s] for s in names], np.int64), shards, np.random.default_rng(seed)) if names else np.zeros((shards, 0), np.int64)
-    upto = np.cumsum(counts, axis=0)
-    dealt = spark.createDataFrame([(s, [int(x) for x in upto[:, i]]) for i, s in enumerate(names)], "s string, upto array<long>")
-    spans = spans.join(F.broadcast(dealt), same).drop("s")
-    # a copy's place is that of its block in its round; blocks without words may lie behind the last place
-    shard = lambda copy: F.least(F.size(F.filter("upto", lambda u: u <= copy * F.col("blocks") + F.col("nth"))), F.lit(shards - 1))
-    last = F.col("rounds") + (F.col("here") > 0).cast("int") - 1
-    spans = spans.withColumn("shards", F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("long"), last), shard)).otherwise(F.array().cast("array<int>")))
-    spans = spans.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "rounds", "here", "rest", "shards")
-    rows = rows.join(spans, F.expr("source <=> s AND block = b")).drop("s", "b")
-    # documents of a block on the border, in hash order; those of other blocks need no window
-    edge = F.col("here") == 1
-    once = rows.where(edge).groupBy("source", "block", "row").agg(F.sum("size").alias("row_size"), F.first("rest").alias("rest"))
-    within = Window.partitionBy("source", "block").orderBy(F.xxhash64("row", F.lit(seed + 2)), "row")
-    reach = F.sum("row_size").over(within)
-    once = once.withColumn("more", (reach - F.col("row_size") / 2 <= F.col("rest")).cast("int")).select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("row").alias("r"), "more")
-    border = rows.where(edge).join(once, F.expr("source <=> s AND block = b AND row = r")).drop("s", "b", "r")
-    rows = rows.where(~edge).withColumn("more", (F.col("here") == 2).cast("int")).unionByName(border)
-    copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("more")).otherwise(F.lit(0))
-    rows = rows.withColumn("copies", copies.cast("int"))
-    return rows.select("row", "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.get("shards", F.lit(0)).alias("shard"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards"))
-
-
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixture itself: the rows of `df`, each as often as plan() takes it, dealt to the shards and shuffled within
-    each. Rows without words are never taken. Columns are those of `df`."""
-    chosen = plan(df, id_col, text_col, source_col, **options)
-    row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0")), F.coalesce(F.col(text_col), F.lit("\0")))
-    once = chosen.groupBy(F.col("row").alias("__row")).agg(F.max("copies").alias("__copies"), F.max("shards").alias("__shards")).where("__copies > 0")
-    rows = df.withColumn("__row", row).join(once, "__row")
-    rows = rows.select("*", F.posexplode("__shards").alias("__copy", "__shard"))
-    return rows.withColumn("__place", F.xxhash64("__row", "__copy")).repartition(F.col("__shard"), F.col("__copy")).sortWithinPartitions("__shard", "__place").select(*df.columns)
+    sources and texts are values like others. Shards and blocks are as many as the words ask for unless given. A source without words has
+    target 0 and nothing taken. An empty table gives an empty result. Reruns with the same seed agree. There may be any number of
+    sources: the driver holds one number for each GROUPS groups of them, and no step needs a source's rows together."""
+    rows = kept(_rows(df, id_col, text_col, source_col))
+    out = Decided(rows, blocks, shards, cap, seed).taken(rows)
+    return out.select("row", "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.get("shards", F.lit(0)).alias("shard"), "shards")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None, shards: int | None = None, cap: int = CAP, seed: int = 17, placed: bool = False) -> DataFrame:
+    """The mixture itself: the rows of `df`, each as often as plan() takes it, with the columns of `df`; placed: and with
+    `shard` and `place` in place of any columns so named.
+
+    Partition n holds shard n, in the order of place, a hash by seed; so does the file of it that is written. Rows without words are
+    never taken; nulls, repeated rows and empty tables are as in plan()."""
+    key, row = _named(id_col, text_col, source_col)
+    decided = Decided(kept(_rows(df, id_col, text_col, source_col)), blocks, shards, cap, seed)
+    whole = df.select(F.struct(*df.columns).alias("doc"), key.alias("key"), row.alias("row"), word_count(text_col).alias("size"))
+    rows = decided.taken(whole).select("doc", "row", F.posexplode("shards").alias("copy", "shard"))
+    rows = rows.withColumn("place", F.xxhash64("row", "copy", F.lit(seed + 3)))
+    rows = rows.repartitionById(decided.shards, F.col("shard")).sortWithinPartitions("place", "copy")
+    columns = [c for c in df.columns if not placed or c not in ("shard", "place")]
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in columns), *(("shard", "place") if placed else ()))
