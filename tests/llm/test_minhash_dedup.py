@@ -70,8 +70,23 @@ def test_large_nodes_equal_brute_force(spark, leaf, depth):
     rows = documents(2, 2, 120)
     tight = [f"t{i}" for i in range(400)]
     rows += [(5000 + i, " ".join([*tight, f"only{i}"])) for i in range(60)]
-    got, want = run(spark, rows, leaf=leaf, depth=depth), brute(rows)
-    assert sum(a != b for a, b in zip(got, want)) <= 0.01 * len(want)
+    assert run(spark, rows, leaf=leaf, depth=depth) == brute(rows)
+
+
+def test_recall_of_links_in_large_nodes(spark):
+    """Pairs just above the threshold whose only path is their own link, all in one node of common words."""
+    rng, rows = random.Random(11), []
+    common = [f"c{i}" for i in range(30)]
+    for g in range(150):
+        own = [f"g{g}x{i}" for i in range(34)]
+        at = rng.randrange(6, 28)  # 65 shingles each, 5 of which differ: 60 of 70 are shared, 0.857
+        copy = [*own[:at], "edit", *own[at + 1 :], *(f"g{g}y{i}" for i in range(5))]
+        rows += [" ".join(common + own + [f"g{g}y{i}" for i in range(5)]), " ".join(common + copy)]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert sum(not r[3] for r in want) == 150
+    for leaf in (4000, 30, 12):
+        assert run(spark, rows, leaf=leaf) == want
 
 
 def test_odd_rows(spark):

@@ -18,9 +18,10 @@ THRESHOLD = 85
 FIRST, MOST_TREES = 3, 64
 #: Bytes of a sketch, one of each minwise token.
 SKETCH = 128
-#: A pair is compared in full unless its sketches agree in fewer bytes than at the threshold by so many deviations; in the
-#: later trees by so many.
-DEVIATIONS, DEVIATIONS_LATER = 4, 2.67
+#: A pair is compared in full unless its sketches agree in fewer bytes than at the threshold by so many deviations.
+DEVIATIONS = 4
+#: Deviations of a sketch, at the distance where it deviates most, by which a document must be too far from all others to leave a node.
+SURE = 5
 #: What a leaf holds at most, compared exhaustively: documents, and a thousand shingles count as one more.
 LEAF = 4000
 #: Levels after which a node is cut into blocks whose pairs are compared instead.
@@ -101,8 +102,13 @@ def signatures(value: np.ndarray, offsets: np.ndarray, n_trees: int = 0) -> tupl
     return mins[:, SKETCH:], (mins[:, :SKETCH] & np.uint64(255)).astype(np.uint8)
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, digest): the digest names the text, null as empty."""
+    return documents_select(df, id_col, text_col).withColumn("digest", F.unhex(F.md5("text")))
+
+
 def _described(df: DataFrame, id_col: str, text_col: str, k: int, n_trees: int) -> DataFrame:
-    """(id, n, key, roots, sketch) for every row."""
+    """(id, digest, n, key, roots, sketch) for every row."""
     kind = df.schema[id_col].dataType
 
     def run(batches):
@@ -113,11 +119,11 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, n_trees: int)
                 roots, sketch = signatures(value, offsets, n_trees)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, roots.size + 1, n_trees), pa.int32()), pa.array(roots.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(set_keys(value, offsets), pa.binary()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    ["id", "n", "key", "roots", "sketch"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(set_keys(value, offsets), pa.binary()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    ["id", "digest", "n", "key", "roots", "sketch"],
                 )
 
-    return documents_select(df, id_col, text_col).mapInArrow(task(run), f"id {kind.simpleString()}, n long, key binary, roots array<long>, sketch binary")
+    return _texts(df, id_col, text_col).mapInArrow(task(run), f"id {kind.simpleString()}, digest binary, n long, key binary, roots array<long>, sketch binary")
 
 
 def _by_group(batches, work, columns: int):
@@ -270,7 +276,7 @@ def _linked(rows: DataFrame, agree: int, threshold: int) -> DataFrame:
 
 
 def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(key, sketch, elements) of the documents whose (rep, key) are needed, from their texts."""
+    """(key, sketch, elements) of the documents whose (rep, key) are needed, from the texts of the rows that rep names."""
 
     def run(batches):
         for b in batches:
@@ -287,7 +293,8 @@ def _sets_of(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: in
     needed = kept(needed)
     if needed.count() <= BROADCAST:
         needed = F.broadcast(needed)
-    texts = documents_select(df, id_col, text_col).join(needed, F.expr("id <=> rep")).select("key", "text")
+    needed = needed.select("key", F.col("rep.id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"))
+    texts = _texts(df, id_col, text_col).join(needed, F.expr("id <=> rep_id AND digest = rep_digest")).select("key", "text")
     return texts.mapInArrow(task(run), "key binary, sketch binary, elements binary")
 
 
@@ -305,10 +312,11 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     """(edges, rows left) of nodes that are too large: each picks a pivot; documents whose sketches all but equal its are
     compared with it in full. Those that are linked to it leave the node unless something there could be linked to
     them but not to the pivot: by the triangle inequality of Jaccard distances, only what is nearer to the pivot than the
-    threshold's distance and their own distance together, with a margin for the sketch. Sketches all but equal at half
-    the threshold's distance and a little; the margin is three deviations and a little of a sketch at the threshold."""
+    threshold's distance and their own distance together. Their own distance is that of the whole sets; of the others only
+    the sketch is known, and a margin of SURE deviations is added, whatever its distance. Sketches all but equal at half the
+    threshold's distance and a little."""
     apart = 1 - threshold / 100
-    core_far, margin = apart * 8 / 15, 3.2 * math.sqrt(apart * (1 - apart) / SKETCH)
+    core_far, margin = apart * 8 / 15, SURE * math.sqrt(0.25 / SKETCH)
     pivot = rows.join(sizes, "node").groupBy("node").agg(F.min_by(F.struct("key", "sketch"), F.xxhash64("key", "node")).alias("p"))
     rows = rows.join(pivot.select("node", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "node")
 
@@ -325,19 +333,21 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     def compare(batches):
         for b in batches:
             key, pivot = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = []
+            ok, own = [], []
             for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 n = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
-                ok.append(100 * n >= threshold * ((len(s) + len(t)) // 8 - n))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(pivot, pa.binary())], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+                union = (len(s) + len(t)) // 8 - n
+                ok.append(100 * n >= threshold * union)
+                own.append(1 - n / union)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(pivot, pa.binary()), pa.array(own, pa.float64())], ["u", "v", "own"]).filter(pa.array(ok, pa.bool_()))
 
     once = sets.groupBy("key").agg(F.first("elements").alias("elements"))
     other = once.select(F.col("key").alias("pivot"), F.col("elements").alias("pivot_elements"))
-    edges = staged(core.join(once, "key").join(other, "pivot").select("key", "pivot", "elements", "pivot_elements").mapInArrow(task(compare), "u binary, v binary"), "links")
+    edges = staged(core.join(once, "key").join(other, "pivot").select("key", "pivot", "elements", "pivot_elements").mapInArrow(task(compare), "u binary, v binary, own double"), "links")
     rows = rows.join(edges, (F.col("key") == F.col("u")) & (F.col("pivot") == F.col("v")), "left").withColumn("tied", F.col("u").isNotNull() | (F.col("key") == F.col("pivot"))).drop("u", "v")
     nearest = rows.where("not tied").groupBy("node").agg(F.min("far").alias("open"))
-    left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.col("far") + apart + margin >= F.col("open")))
-    return edges, left.select(*_ROW)
+    left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.coalesce("own", F.lit(0.0)) + apart + margin >= F.col("open")))
+    return edges.select("u", "v"), left.select(*_ROW)
 
 
 _ROW = ("tree", "node", "key", "weight", "sketch")
@@ -382,22 +392,12 @@ def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
     return rows.select("tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key", "weight", "sketch")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of `df`.
-
-    Rows are linked when the sets of k-word shingles of their whole texts (A-Z lower-cased; fewer words: the whole
-    sequence) share `threshold` hundredths of their union; components are those of the links; component_id is the
-    least id of a component and `kept` whether it is the row's own. A null text, or one without words, has no shingles and is a component
-    of its own. A null id comes after all others; rows that repeat an id are rows like any other, and those of a
-    component's least id are all kept. An empty table gives an empty result; other columns are not read.
-
-    Rows of equal sets are one document. Each of trees(threshold) trees branches documents by their minwise token, again in nodes
-    of more than `leaf` documents, until nodes are leaves, whose pairs are all compared: first sketches, then, where
-    these agree, whole sets. What the first trees join is not compared again in the others. No step holds
-    more than a leaf in one task, drops anything from a node that could still have a link, or emits more edges
-    than a leaf has documents."""
+def _judged(df: DataFrame, id_col: str, text_col: str, k: int, threshold: int, leaf: int, depth: int) -> DataFrame:
+    """(id, digest, n, least) for every row: least is the (none, id, digest) of the first row of its component, by id, null
+    last, and text; null for a row without shingles."""
     sigs = kept(_described(df, id_col, text_col, k, trees(threshold)))
-    once = sigs.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(F.struct("roots", "sketch", (1 + F.col("n") / 1000).alias("weight"))).alias("s"))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    once = sigs.where("n > 0").groupBy("key").agg(F.min(row).alias("rep"), F.first(F.struct("roots", "sketch", (1 + F.col("n") / 1000).alias("weight"))).alias("s"))
     reps = staged(once.select("key", "rep", "s.*"), "reps")
     names = reps.select("key", "rep")
     leaves, edges = _leaves(reps, names, df, id_col, text_col, k, threshold, leaf, depth)
@@ -411,12 +411,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = near.where(F.col("tree") >= FIRST).join(joined, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     mixed = later.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("node")
     later = later.join(mixed, "node")
-    more = _linked(later.join(sets, "key"), agreement(threshold, DEVIATIONS_LATER), threshold)
+    more = _linked(later.join(sets, "key"), agreement(threshold), threshold)
     stars = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     final = components(more.unionByName(stars)).select(F.col("node").alias("key"), "root")
     whole = names.join(final, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = whole.groupBy("root").agg(F.min("rep").alias("least"))
     of = whole.join(least, "root").select("key", "least")
-    rows = sigs.select("id", "n", "key").join(of, "key", "left")
-    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
+    return sigs.select("id", "digest", "n", "key").join(of, "key", "left").drop("key")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of `df`.
+
+    Rows are linked when the sets of k-word shingles of their whole texts (A-Z lower-cased; fewer words: the whole
+    sequence) share `threshold` hundredths of their union; components are those of the links; component_id is the
+    least id of a component and `kept` whether it is the row's own. A null text, or one without words, has no shingles and is a component
+    of its own. A null id comes after all others; rows that repeat an id are rows like any other, and those of a
+    component's least id are all kept. An empty table gives an empty result; other columns are not read.
+
+    Rows of equal sets are one document. Each of trees(threshold) trees branches documents by their minwise token, again in nodes
+    of more than `leaf` documents, until nodes are leaves, whose pairs are all compared: first sketches, then, where
+    these agree, whole sets. What the first trees join is not compared again in the others. No step holds
+    more than a leaf in one task or emits more edges than a leaf has documents. Pairs at the threshold are missed with small
+    chances only: by all trees (the README has the figures), by sketches that agree DEVIATIONS deviations too
+    little, or in a large node by a sketch that is SURE deviations off."""
+    rows = _judged(df, id_col, text_col, k, threshold, leaf, depth)
+    own = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
     return rows.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+
+
+def kept_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = 80, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """The rows of `df` that stay, with its columns: of each component of near_duplicates() the row of the least id, null last; of
+    several texts with that id, that of the least digest; of rows that repeat both, all. Rows without shingles stay. An empty
+    table gives an empty result; other columns pass through."""
+    rows = _judged(df, id_col, text_col, k, threshold, leaf, depth)
+    stay = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("digest") == F.col("least.digest")))
+    stay = rows.where(stay).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
