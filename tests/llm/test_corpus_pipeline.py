@@ -6,7 +6,7 @@ pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 from test_exact_dedup import brute as exact  # noqa: E402
 from test_minhash_dedup import brute as near  # noqa: E402
-from tidemark.llm import mixing  # noqa: E402
+from test_mixing import targets  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +44,8 @@ def test_stages_equal_brute_force(spark, tables):
     source = {r[0]: r[3] for r in rows}
     size = lambda s, f: sum(len(t.split()) for i, t in f if source[i] == s)
     names = sorted({source[i] for i, _ in frames[2]})
-    for s, target in mixing.shares([(s, size(s, frames[2])) for s in names]).items():
-        assert abs(size(s, frames[3]) - target) <= 120
+    for s, target in targets({s: size(s, frames[2]) for s in names}).items():
+        assert 0 <= target - size(s, frames[3]) < 1 + 1e-6
     last = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
     assert sorted(r.doc_id for r in last) == sorted(i for i, _ in frames[3]) and all(r.n_tokens == len(r.ids) > 0 for r in last)
 
@@ -92,3 +92,14 @@ def test_near_stage_drops_copies_between_80_and_85(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()}
     assert got == {i for i, _ in rows[::2]}
+
+
+def test_near_stage_drops_rows_not_ids(spark, tmp_path):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (3, a + " more"), (3, b), (4, b + " more"), (None, b + " else"), (None, None), (7, ""), (8, a.replace("a30", "x") + " y"), (8, "c d")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string")
+    got = corpus_pipeline.near_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (3, b), (None, None), (7, ""), (8, "c d")], key=str)
+    same = spark.createDataFrame([(1, a, "en", "s", 1), (1, a + " more", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_stage(spark, same, str(tmp_path)).count() == 1

@@ -7,7 +7,6 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType
 
 from .common import SPACES, small_batches, task
 
@@ -149,15 +148,15 @@ def _points(text_col: str):
 
 def classes_of(df: DataFrame, id_col: str, text_col: str, table_bytes: int, others: list[str] | None = None) -> DataFrame:
     """(digest, content, points, keep, copies, times, row) of each different normalised text: content is the original text of the row that
-    stays, row a struct of its other columns where these are asked for; without them content is empty."""
-    numeric = isinstance(df.schema[id_col].dataType, LongType)
-    row = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
+    stays, row whether that is null and a struct of its other columns, where these are asked for; without them content is empty.
+    Ids keep their type and are compared as such."""
+    row = F.lit(None).cast("struct<none:int>") if others is None else F.struct(F.col(text_col).isNull().alias("none"), F.struct(*others, F.lit(0).alias("_")).alias("own"))
     source = small_batches(df).select(
         F.unhex(F.sha2(_squeezed(text_col), 256)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("content"), _points(text_col).alias("points"),
-        F.col(id_col).cast("long" if numeric else "string").alias("keep"), F.lit(1).cast("long").alias("copies"), F.lit(1).cast("long").alias("times"), row.alias("row"),
+        F.col(id_col).alias("keep"), F.lit(1).cast("long").alias("copies"), F.lit(1).cast("long").alias("times"), row.alias("row"),
     )
     schema = to_arrow_schema(source.schema)
-    whole = bool(others)
+    whole = others is not None
 
     def combine(batches):
         held = OpenTable()
@@ -190,16 +189,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     made = ("keep_id", "group_size", "kept_rows", "kept", "text_sha256")
     rows = df.drop(*made)
     found = classes_of(df, id_col, text_col, table_bytes).select(
-        F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep").cast(df.schema[id_col].dataType).alias("keep_id"), F.col("copies").alias("group_size"), F.col("times").alias("kept_rows"), F.col("points").alias("__points")
+        F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep").alias("keep_id"), F.col("copies").alias("group_size"), F.col("times").alias("kept_rows"), F.col("points").alias("__points")
     )
-    joined = rows.withColumn("text_sha256", F.sha2(_squeezed(text_col), 256)).join(found, "text_sha256")
-    stays = F.col(id_col).eqNullSafe(F.col("keep_id")) & (_points(text_col) == F.col("__points"))
+    # lengths are taken before the join: texts travel only if they are asked for
+    joined = rows.withColumns({"text_sha256": F.sha2(_squeezed(text_col), 256), "__own": _points(text_col)}).join(found, "text_sha256")
+    stays = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("__own") == F.col("__points"))
     return joined.select(*rows.columns, "keep_id", "group_size", "kept_rows", stays.alias("kept"), "text_sha256")
 
 
 def kept_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row of each group, with the columns of `df`; of rows that repeat the id that stays, one. The rows that stay come
-    out of their buckets, so each text is shuffled once. A null text comes out empty."""
+    out of their buckets, so each text is shuffled once. A null text counts as empty and stays null; a null id sorts last; an empty
+    table gives an empty result."""
     others = [c for c in df.columns if c != text_col]
     found = classes_of(df, id_col, text_col, table_bytes, others)
-    return found.select(*(F.col("content").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
+    text = F.when(~F.col("row.none"), F.col("content"))
+    return found.select(*(text.alias(c) if c == text_col else F.col("row.own").getField(c).alias(c) for c in df.columns))
