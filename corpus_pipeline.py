@@ -9,33 +9,41 @@ from tidemark.llm.common import staged, table
 from tidemark.llm.queries import piece_model
 
 
-#: Near copies of the pipeline: hundredths of the union of their word shingles that are shared. op2 has 85, the operator's default.
+#: Near copies of the pipeline: hundredths of the union of their word shingles that are shared; op2 has 85.
 NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of those given, predicts to be good."""
+    """Documents that the classifier, fitted on the labels of those given, predicts to be good. A null or empty text is
+    scored like any other; rows that repeat stay or go together; a null id has no label; without labels of both classes
+    all stay; an empty table gives an empty one; other columns, whatever their names, pass through."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for white space."""
+    """One document of each group that is equal but for white space: of most code points, then of least id, null last. Null
+    texts count as empty, and so are one group with texts of white space; of rows that repeat id and text one stays; an empty
+    table gives an empty one; other columns pass through."""
     return exact_dedup.kept_only(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one of the least id."""
-    kept = minhash_dedup.near_duplicates(docs, threshold=NEAR).where("kept").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each component of near duplicates: that of the least id, null last, and of several texts with that id the
+    one of the least digest. Texts without words are no one's copies and stay; rows that repeat id and text stay together, of which
+    the stage before leaves one; an empty table gives an empty one; other columns pass through."""
+    return minhash_dedup.kept_only(docs, threshold=NEAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents as often as their source's target takes them, in shuffled shards."""
+    """The mixture: documents as often as their source's target takes them; partition and file n hold shard n, shuffled. Texts without
+    words are never taken; a null source is a source; rows that repeat id, source and text are taken alike; an empty table
+    gives an empty one; other columns pass through."""
     return mixing.mix(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document of the mixture."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document of the mixture, one row for each copy; a null or empty text has
+    no tokens; other columns are not read."""
     both = sentencepiece_bpe.encode_decode(docs, piece_model())
     return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
