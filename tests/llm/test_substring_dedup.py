@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -5,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import substring_dedup as S
+from tidemark.llm import queries, substring_dedup as S
 
 
 def brute(rows, window):
@@ -49,7 +50,7 @@ def test_equals_brute_force(spark, seed):
             words[rng.randrange(len(words))] = "edited"
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(words)))
     rows += rows[:5] + [(None, rows[7][1]), (500, rows[8][1])]
-    for options in ({}, {"window": 12, "seed": 4}, {"window": 10, "seed": 10}):
+    for options in ({}, {"window": 12, "seed": 4}, {"window": 10, "seed": 10}, {"window": 16, "seed": 2}, {"window": 13, "seed": 9}):
         assert run(spark, rows, **options) == brute(rows, options.get("window", 35))
 
 
@@ -58,3 +59,38 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a " * 34), (4, "a " * 34), (5, "b " * 35), (6, "b " * 36), (None, "q"), (7, long), (8, "start " + long[: len(long) // 2]), (9, "É é " * 40), (9, "É é " * 40), (10, " \x1c\x85 " * 40)]
     assert run(spark, rows) == brute(rows, 35)
     assert S.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_lengths_double():
+    assert S.lengths(35, 9) == [18] and S.lengths(70, 9) == [18, 36] and S.lengths(10, 10) == [] and S.lengths(20, 9) == [] and S.lengths(16, 2) == [4, 8]
+
+
+def test_only_what_is_repeated_is_extended(spark):
+    """A seed whose words are repeated on neither side survives the least length and not the next."""
+    line = lambda i: [f"l{i % 20}x{k}" for k in range(9)]
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(40)), *line(i), *(f"b{i}x{k}" for k in range(40))])) for i in range(200)]
+    rows += [(200 + i, " ".join([f"c{i}", *(f"same{k}" for k in range(60)), f"d{i}"])) for i in range(5)]
+    docs = S._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    again = S._repeated(docs, 35, 9)
+    spans = again.groupBy("h", "e").agg(S.F.sum(S.F.size("pos")).alias("n"), S.F.min("key").alias("first"), S.F.first("a").alias("a"), S.F.max("hot").alias("hot"))
+    left = S._extended(spans, 35, 9)
+    seeds = lambda df: {r.h for r in df.select("h").distinct().collect()}
+    assert seeds(left) < seeds(spans) and left.agg(S.F.max("n")).first()[0] <= 5
+    assert run(spark, rows) == brute(rows, 35)
+
+
+def test_hot_seeds_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 12)
+    line = " ".join(f"l{i}" for i in range(40))
+    rows = [(i, f"a{i} b{i} {line} c{i} d{i} " + " ".join(f"r{i % 9}x{k}" for k in range(45))) for i in range(90)]
+    assert run(spark, rows) == brute(rows, 35)
+    again = S._repeated(S._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), 35, 9)
+    assert 0 < again.where("hot").count() < again.count()
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rows = [(i, f"a{i} " + " ".join(f"s{k}" for k in range(36 + i % 3)) + f" z{i}") for i in range(20)] + [(20, None), (21, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_substring_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in brute(rows, 35)), key=str)

@@ -63,9 +63,9 @@ def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # what travels of each text is its digest; the operator itself gives the words
     rows, cut = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = rows.select("id", "key", "size", "n_words", F.sha2("words", 256).alias("whole"))
-    cut = staged(cut.select("key", "size", "n_removed", F.sha2("kept", 256).alias("rest")).dropDuplicates(["key", "size"]), "cut")
-    return rows.join(cut, ["key", "size"], "left").select(
+    rows = rows.select("id", "key", "n_words", F.sha2("words", 256).alias("whole"))
+    cut = staged(cut.select("key", "n_removed", F.sha2("kept", 256).alias("rest")).dropDuplicates(["key"]), "cut")
+    return rows.join(cut, "key", "left").select(
         F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("rest", "whole").alias("kept_sha256")
     )
 

@@ -13,6 +13,8 @@ WINDOW = 35
 SEED = 9
 _SALT = np.uint64(0xA24BAED4963EE407)
 ASK, TELL, SETTLED = 1, 2, 0
+#: A seed that more than one in so many of all repeated ones are is hot: there are fewer of these than that; and the salts of one.
+HOT, SALTS = 2000, 64
 
 
 def least_seed(seeds: np.ndarray, span: int) -> np.ndarray:
@@ -43,20 +45,31 @@ class Windows:
             self.seeds, self.seed = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+def lengths(window: int, seed: int) -> list[int]:
+    """The lengths that seeds are extended to: each twice the one before, while a window reaches so far from its seed on one
+    side at least, wherever the seed is in it."""
+    out, size = [], 2 * seed
+    while 2 * (size - seed) <= window - seed:
+        out.append(size)
+        size *= 2
+    return out
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, size, text): key and size name the text."""
+    """(id, key, text): key is 128 bits that name the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return small_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.char_length(text).alias("size"), text.alias("text"))
+    return small_batches(df).select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
 
 def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(key, size, h, e, pos) of each different seed of a text: its hash, that of all words of windows around it, and its
-    places. A text that says one thing over and over has one row for it."""
+    """(key, h, e, a, pos) of each different seed of a text: its hash, that of all words of windows around it, its extensions, and its
+    places. a: for each of lengths() 32 bits of the words that end with the seed and of those that start with it, 0 where
+    the text has not so many. A text that says one thing over and over has one row for it."""
+    steps = lengths(window, seed)
 
     def run(batches):
         for b in batches:
-            raw = utf8(b.column(2))
-            key, size = (b.column(c).to_numpy() for c in (0, 1))
+            raw = utf8(b.column(1))
             for i, j in chunks(raw):
                 w = Windows(raw[i:j], window, seed)
                 if not len(w.seed):
@@ -64,49 +77,102 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 new = np.ones(len(w.seed), bool)  # a later window's seed is never to the left
                 new[1:] = w.seed[1:] != w.seed[:-1]
                 at, doc = w.seed[new], w.doc[new]
-                start, end = np.maximum(w.words.first[doc], at - (window - seed)), np.minimum(w.words.first[doc + 1], at + window)
+                low, high = w.words.first[doc], w.words.first[doc + 1]
+                start, end = np.maximum(low, at - (window - seed)), np.minimum(high, at + window)
                 with np.errstate(over="ignore"):
                     around = mix(ranges_hash(w.words.hash, start, end) + (at - start).astype(np.uint64) * _SALT)
-                h, pos = w.seeds[at], (at - w.words.first[doc]).astype(np.int32)
+                longer = np.zeros((len(at), 2 * len(steps)), np.int32)
+                for n, size in enumerate(steps):
+                    for side, (s, e) in enumerate(((at + seed - size, at + seed), (at, at + size))):
+                        there = (s >= low) & (e <= high)
+                        longer[there, 2 * n + side] = (ranges_hash(w.words.hash, s[there], e[there]) >> np.uint64(33)).astype(np.int32) + 1
+                h, pos = w.seeds[at], (at - low).astype(np.int32)
                 order = np.lexsort((pos, around, h, doc))
-                h, around, pos, doc = h[order], around[order], pos[order], doc[order]
+                h, around, pos, doc, longer = h[order], around[order], pos[order], doc[order], longer[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(new)
                 doc = doc[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[i:j][doc]), pa.array(size[i:j][doc]), pa.array(h[first].view(np.int64)), pa.array(around[first].view(np.int64)), list_array(pos, np.append(first, len(h)))],
-                    ["key", "size", "h", "e", "pos"],
+                    [b.column(0).take(pa.array(doc + i)), pa.array(h[first].view(np.int64)), pa.array(around[first].view(np.int64)), list_array(longer[first].ravel(), longer.shape[1] * np.arange(len(first) + 1)), list_array(pos, np.append(first, len(h)))],
+                    ["key", "h", "e", "a", "pos"],
                 )
 
-    return docs.select("key", "size", "text").mapInArrow(task(run), "key long, size int, h long, e long, pos array<int>")
+    return docs.select("key", "text").mapInArrow(task(run), "key binary, h long, e long, a array<int>, pos array<int>")
 
 
-def _states(raw: list[bytes], places, window: int, seed: int) -> tuple[Windows, np.ndarray]:
-    """The windows, and for each what is known of its seed: -1 not repeated, else its state. places: of each text
-    (positions, states)."""
-    w = Windows(raw, window, seed)
-    state = np.full(len(w.seeds) + 1, -1, np.int8)
-    for n, (pos, known) in enumerate(places):
-        state[w.words.first[n] + pos] = known
-    return w, state[w.seed] if len(w.seed) else np.zeros(0, np.int8)
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """`rows` with a salt: those of a hot seed are dealt by a hash of a column."""
+    return rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """One row of each seed, for all its salts."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))))).drop("hot")
 
 
-def _places(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """An array column of pos * 4 + state."""
+def _repeated(docs: DataFrame, window: int, seed: int) -> DataFrame:
+    """The _seeds() that occur more than once, with `hot`: at the least length only they survive."""
+    seeds = _seeds(docs, window, seed)
+    twice = seeds.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1")
+    twice = staged(twice.select("h", "rows"), "repeated")
+    total = twice.agg(F.sum("rows")).first()[0] or 0
+    hot = twice.where(F.col("rows") * HOT > total).select("h", F.lit(True).alias("hot"))  # fewer than HOT rows
+    seeds = seeds.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    twice = twice.select("h", (F.col("rows") * HOT > total).alias("hot"))
+    return staged(_dealt(seeds, "key").join(_copied(twice), ["h", "salt"]).drop("salt"), "seeds")
+
+
+def _extended(spans: DataFrame, window: int, seed: int) -> DataFrame:
+    """`spans` (h, e, a, hot, n, first) with left and right: at how many of lengths() the words that end with the seed, and those that
+    start with it, are repeated. What is repeated on neither side at one length is dropped and not looked at further."""
+    spans = spans.withColumns({"left": F.lit(0), "right": F.lit(0)})
+    for n, size in enumerate(lengths(window, seed)):
+        for k, side in enumerate(("left", "right")):
+            x = F.col("a")[2 * n + k]
+            own = spans.withColumn("x", F.when((F.col(side) == n) & (x != 0), x))
+            again = own.where("x is not null").groupBy("h", "x").agg(F.sum("n").alias("c"), F.max("hot").alias("hot")).where("c > 1").select("h", "x", "hot", F.lit(1).alias("again"))
+            spans = _dealt(own, "e").join(_copied(again), ["h", "x", "salt"], "left")
+            spans = spans.withColumn(side, F.col(side) + F.coalesce("again", F.lit(0))).drop("x", "salt", "again")
+        spans = staged(spans.where((F.col("left") > n) | (F.col("right") > n)), f"extended{size}")
+        if spans.isEmpty():
+            break
+    return spans
+
+
+def _states(raw: list[bytes], places, window: int, seed: int) -> tuple[Windows, np.ndarray]:
+    """The windows, and for each what is known of it: -1 not repeated, else the state of its seed. places: of each text
+    (positions, states, left, right). A window that reaches as far from its seed as a length needs that side to be repeated at it."""
+    w = Windows(raw, window, seed)
+    known = np.zeros((3, len(w.seeds) + 1), np.int8)
+    known[0] = -1
+    for n, (pos, *own) in enumerate(places):
+        known[:, w.words.first[n] + pos] = own
+    if not len(w.seed):
+        return w, np.zeros(0, np.int8)
+    state, left, right = known[:, w.seed]
+    before = w.seed - w.start
+    after = window - seed - before
+    needs = lambda reach: np.searchsorted(np.array(lengths(window, seed), np.int64) - seed, reach, "right")
+    short = (left < needs(before)) | (right < needs(after))
+    return w, np.where(short & (state > SETTLED), np.int8(-1), state)
+
+
+def _places(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
+    """An array column of pos << 12 | left << 7 | right << 2 | state."""
     out = []
     for x in column:
         v = np.asarray(x.values.to_numpy() if x.is_valid else [], np.int64)
-        out.append((v >> 2, (v & 3).astype(np.int8)))
+        out.append((v >> 12, *((y & m).astype(np.int8) for y, m in ((v, 3), (v >> 7, 31), (v >> 2, 31)))))
     return out
 
 
 def _asked(held: DataFrame, window: int, seed: int) -> DataFrame:
-    """(h1, h2, key, size, p, ask) of the windows whose seed asks or tells."""
+    """(h1, h2, key, p, ask) of the windows whose seed asks or tells."""
 
     def run(batches):
         for b in batches:
-            key, size, raw, places = b.column(0).to_numpy(), b.column(1).to_numpy(), utf8(b.column(2)), _places(b.column(3))
+            raw, places = utf8(b.column(1)), _places(b.column(2))
             for i, j in chunks(raw):
                 w, state = _states(raw[i:j], places[i:j], window, seed)
                 take = state > SETTLED
@@ -116,19 +182,19 @@ def _asked(held: DataFrame, window: int, seed: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     h = [ranges_hash(v, start, start + window) for v in (w.words.hash, mix(w.words.hash + _SALT))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(key[i:j][doc]), pa.array(size[i:j][doc]), pa.array((start - w.words.first[doc]).astype(np.int32)), pa.array(state[take] == ASK)],
-                    ["h1", "h2", "key", "size", "p", "ask"],
+                    [pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), b.column(0).take(pa.array(doc + i)), pa.array((start - w.words.first[doc]).astype(np.int32)), pa.array(state[take] == ASK)],
+                    ["h1", "h2", "key", "p", "ask"],
                 )
 
-    return held.select("key", "size", "text", "places").mapInArrow(task(run), "h1 long, h2 long, key long, size int, p int, ask boolean")
+    return held.select("key", "text", "places").mapInArrow(task(run), "h1 long, h2 long, key binary, p int, ask boolean")
 
 
 def _cut(held: DataFrame, window: int, seed: int) -> DataFrame:
-    """(key, size, n_removed, kept) of (key, size, text, places, starts)."""
+    """(key, n_removed, kept) of (key, text, places, starts)."""
 
     def run(batches):
         for b in batches:
-            raw, places, starts = utf8(b.column(2)), _places(b.column(3)), b.column(4)
+            raw, places, starts = utf8(b.column(1)), _places(b.column(2)), b.column(3)
             removed, kept = [], []
             for i, j in chunks(raw):
                 w, state = _states(raw[i:j], places[i:j], window, seed)
@@ -148,66 +214,68 @@ def _cut(held: DataFrame, window: int, seed: int) -> DataFrame:
                     left = [own[k] for k in np.flatnonzero(stay[s:e]).tolist()]
                     removed.append(len(own) - len(left))
                     kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["key", "size", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["key", "n_removed", "kept"])
 
-    return held.select("key", "size", "text", "places", "starts").mapInArrow(task(run), "key long, size int, n_removed long, kept string")
+    return held.select("key", "text", "places", "starts").mapInArrow(task(run), "key binary, n_removed long, kept string")
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """(id, key, size, n_words, words): every text's words, joined by one space."""
+    """(id, key, n_words, words): every text's words, joined by one space."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            raw = utf8(b.column(3))
+            raw = utf8(b.column(2))
             for i, j in chunks(raw, 4 << 20):
                 own = [t.split() for t in raw[i:j]]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array([len(x) for x in own], pa.int64()), pa.array([b" ".join(x).decode() for x in own], pa.string())], ["id", "key", "size", "n_words", "words"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(2)), pa.array([len(x) for x in own], pa.int64()), pa.array([b" ".join(x).decode() for x in own], pa.string())], ["id", "key", "n_words", "words"])
 
-    return docs.mapInArrow(task(run), f"id {kind}, key long, size int, n_words long, words string")
+    return docs.mapInArrow(task(run), f"id {kind}, key binary, n_words long, words string")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, cut): rows is (id, key, size, n_words, words) of every row of `df`; cut is (key, size, n_removed, kept) of each
+    """(rows, cut): rows is (id, key, n_words, words) of every row of `df`; cut is (key, n_removed, kept) of each
     different text that has words removed, or a repeated seed at least (more than once where rows repeat id and text). A
-    row joins its text's cut by key and size.
+    row joins its text's cut by key.
 
     A window is `window` consecutive words of one text. Every word that a window covers whose word sequence also starts
     anywhere else, in the same text too, is removed; windows are judged on the input. A null text has no words; texts of
     fewer words than a window lose none; rows that repeat a text make all its windows repeated; ids may be null
     or repeat; an empty table gives empty results; other columns are not read.
 
-    Repetition is looked for at growing lengths, and only what is repeated at one is looked at further. The least
-    is a seed: of the `seed`-word windows in a window, the one of the least hash, which equal windows share. Seeds
-    that are repeated are extended to all the words of windows around them, almost twice a window: where these are repeated too, so is every window of the seed.
+    Repetition is looked for at doubled lengths, and what is repeated at one length alone is extended to twice that, until
+    nothing is left. The least length is `seed` words. Of the seeds in a window only that of the least hash is looked
+    at, which equal windows share. Repeated seeds are extended to twice their length, to the left and to the right, and again to twice that
+    while it is less than a window: a window that reaches so far from its seed on one side is not repeated unless these words are. What survives
+    is extended to all the words of windows around it, almost twice a window: where these are repeated too, so is every window of the seed.
     For the others the windows are compared themselves, with those of one text for each such span. Repetition is
-    counted by sums and told by joins, so a passage that a third of all texts hold is never in one task. Texts are named by 64 bits and
-    their length, windows by 128 bits, seeds and spans by 64."""
+    counted by sums and told by joins, in which seeds that are a large share of all have salts, so a passage that a
+    third of all texts hold is never in one task. Texts and windows are named by 128 bits, and so are spans with their seeds."""
     docs = _keyed(df, id_col, text_col)
-    seeds = _seeds(docs, window, seed)
-    twice = seeds.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("h")
-    again = staged(seeds.join(twice, "h"), "seeds")
-    spans = again.groupBy("h", "e").agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("key", "size")).alias("first"))
-    alone = spans.where("n = 1").select(F.col("h").alias("open")).distinct()
-    spans = spans.join(alone, F.col("h") == F.col("open"), "left")
-    told = again.join(spans, ["h", "e"])
-    one = F.struct("key", "size") == F.col("first")
-    told = told.select("key", "size", "n", (F.col("open").isNotNull() & one).alias("tells"), F.posexplode("pos").alias("nth", "pos"))
+    again = _repeated(docs, window, seed)
+    spans = again.groupBy("h", "e").agg(F.sum(F.size("pos")).alias("n"), F.min("key").alias("first"), F.first("a").alias("a"), F.max("hot").alias("hot"))
+    spans = _extended(staged(spans, "spans"), window, seed)
+    alone = spans.where("n = 1").groupBy("h").agg(F.max("hot").alias("hot")).withColumn("open", F.lit(True))
+    spans = _dealt(spans, "e").join(_copied(alone), ["h", "salt"], "left").select("h", "e", "n", "first", "left", "right", F.coalesce("open", F.lit(False)).alias("open"))
+    told = again.select("key", "h", "e", "pos").join(spans, ["h", "e"])
+    one = F.col("key") == F.col("first")
+    told = told.select("key", "n", "left", "right", (F.col("open") & one).alias("tells"), F.posexplode("pos").alias("nth", "pos"))
     state = F.when(F.col("n") == 1, ASK).when(F.col("tells") & (F.col("nth") == 0), TELL).otherwise(SETTLED)
-    places = told.select("key", "size", (F.col("pos").cast("long") * 4 + state).alias("place")).groupBy("key", "size").agg(F.collect_set("place").alias("places"))
-    owner = docs.groupBy("key", "size").agg(F.min("id").alias("owner"))
-    held = docs.join(places.join(owner, ["key", "size"]), ["key", "size"]).where(F.col("id").eqNullSafe(F.col("owner")))
-    held = staged(held.select("key", "size", "text", "places"), "held")
+    places = told.select("key", (F.col("pos").cast("long") * 4096 + F.col("left") * 128 + F.col("right") * 4 + state).alias("place")).groupBy("key").agg(F.collect_set("place").alias("places"))
+    owner = docs.groupBy("key").agg(F.min("id").alias("owner"))
+    held = docs.join(places.join(owner, "key").withColumnRenamed("key", "own"), F.expr("key = own AND id <=> owner"))
+    held = staged(held.select("key", "text", "places"), "held")
     asked = staged(_asked(held, window, seed), "windows")
     more = asked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    starts = asked.where("ask").join(more, ["h1", "h2"]).groupBy("key", "size").agg(F.collect_set("p").alias("starts"))
-    cut = _cut(held.join(starts, ["key", "size"], "left"), window, seed)
+    starts = asked.where("ask").join(more, ["h1", "h2"]).groupBy("key").agg(F.collect_set("p").alias("starts"))
+    cut = _cut(held.join(starts, "key", "left"), window, seed)
     return _whole(docs), cut
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(id, n_words, n_removed, kept) for every row: kept is the words that stay, joined by one space."""
+    """(id, n_words, n_removed, kept) for every row: kept is the words that stay, joined by one space. Null texts, few words, repeated
+    rows and empty tables are as in repeated_passages()."""
     rows, cut = repeated_passages(df, id_col, text_col, window, seed)
-    cut = staged(cut.dropDuplicates(["key", "size"]), "cut")
-    both = rows.join(cut, ["key", "size"], "left")
+    cut = staged(cut.dropDuplicates(["key"]), "cut")
+    both = rows.join(cut, "key", "left")
     return both.select("id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "words").alias("kept"))
