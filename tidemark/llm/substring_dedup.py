@@ -13,6 +13,8 @@ WINDOW = 35
 SEED = 9
 _SALT = np.uint64(0xA24BAED4963EE407)
 ASK, TELL, SETTLED = 1, 2, 0
+#: Bytes that name a seed's extension: where two that differ share them, more is looked at at the next length.
+EXTENSION = 3
 #: A seed that more than one in so many of all repeated ones are is hot: there are fewer of these than that; and the salts of one.
 HOT, SALTS = 2000, 64
 
@@ -63,8 +65,8 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """(key, h, e, a, pos) of each different seed of a text: its hash, that of all words of windows around it, its extensions, and its
-    places. a: for each of lengths() 32 bits of the words that end with the seed and of those that start with it, 0 where
-    the text has not so many. A text that says one thing over and over has one row for it."""
+    places. a: for each of lengths() EXTENSION bytes that name the words that end with the seed and as many for those that start
+    with it, 0 where the text has not so many. A text that says one thing over and over has one row for it."""
     steps = lengths(window, seed)
 
     def run(batches):
@@ -81,11 +83,11 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 start, end = np.maximum(low, at - (window - seed)), np.minimum(high, at + window)
                 with np.errstate(over="ignore"):
                     around = mix(ranges_hash(w.words.hash, start, end) + (at - start).astype(np.uint64) * _SALT)
-                longer = np.zeros((len(at), 2 * len(steps)), np.int32)
+                longer = np.zeros((len(at), 2 * len(steps)), ">u4")
                 for n, size in enumerate(steps):
                     for side, (s, e) in enumerate(((at + seed - size, at + seed), (at, at + size))):
                         there = (s >= low) & (e <= high)
-                        longer[there, 2 * n + side] = (ranges_hash(w.words.hash, s[there], e[there]) >> np.uint64(33)).astype(np.int32) + 1
+                        longer[there, 2 * n + side] = np.maximum(ranges_hash(w.words.hash, s[there], e[there]) >> np.uint64(64 - 8 * EXTENSION), np.uint64(1))
                 h, pos = w.seeds[at], (at - low).astype(np.int32)
                 order = np.lexsort((pos, around, h, doc))
                 h, around, pos, doc, longer = h[order], around[order], pos[order], doc[order], longer[order]
@@ -93,12 +95,13 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(new)
                 doc = doc[first]
+                named = [x.tobytes() for x in longer[first].view(np.uint8).reshape(len(first), -1, 4)[:, :, 4 - EXTENSION :]]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(doc + i)), pa.array(h[first].view(np.int64)), pa.array(around[first].view(np.int64)), list_array(longer[first].ravel(), longer.shape[1] * np.arange(len(first) + 1)), list_array(pos, np.append(first, len(h)))],
+                    [b.column(0).take(pa.array(doc + i)), pa.array(h[first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(named, pa.binary()), list_array(pos, np.append(first, len(h)))],
                     ["key", "h", "e", "a", "pos"],
                 )
 
-    return docs.select("key", "text").mapInArrow(task(run), "key binary, h long, e long, a array<int>, pos array<int>")
+    return docs.select("key", "text").mapInArrow(task(run), "key binary, h long, e long, a binary, pos array<int>")
 
 
 def _dealt(rows: DataFrame, by: str) -> DataFrame:
@@ -129,8 +132,8 @@ def _extended(spans: DataFrame, window: int, seed: int) -> DataFrame:
     spans = spans.withColumns({"left": F.lit(0), "right": F.lit(0)})
     for n, size in enumerate(lengths(window, seed)):
         for k, side in enumerate(("left", "right")):
-            x = F.col("a")[2 * n + k]
-            own = spans.withColumn("x", F.when((F.col(side) == n) & (x != 0), x))
+            x = F.substring("a", EXTENSION * (2 * n + k) + 1, EXTENSION)
+            own = spans.withColumn("x", F.when((F.col(side) == n) & (x != F.lit(bytes(EXTENSION))), x))
             again = own.where("x is not null").groupBy("h", "x").agg(F.sum("n").alias("c"), F.max("hot").alias("hot")).where("c > 1").select("h", "x", "hot", F.lit(1).alias("again"))
             spans = _dealt(own, "e").join(_copied(again), ["h", "x", "salt"], "left")
             spans = spans.withColumn(side, F.col(side) + F.coalesce("again", F.lit(0))).drop("x", "salt", "again")
