@@ -213,7 +213,8 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, shrinkage: float = 0.1) -> DataFrame:
     """The rows of `df` that classified() predicts to have label 1, with its columns. Each is judged where it is read, so
-    that no text is shuffled."""
+    that no text is shuffled. Nulls, empty and long texts, repeated rows and empty tables are as in classified(): a null text counts as
+    empty and stays null, and without any label all rows stay; other columns, whatever their names, pass through."""
     model = learnt(measured(df, id_col, text_col), labels, id_col, label_col, in_fold(folds, held_out), shrinkage)
     at = df.columns.index(text_col)
 

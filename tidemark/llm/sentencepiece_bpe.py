@@ -201,7 +201,8 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
 
 
 def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, text): decode(encode()), in one worker."""
+    """(id, ids, text) for every row: decode(encode()), in one worker, so that ids travel once. A null text counts as empty and has no
+    ids and an empty text; repeated rows give equal results; an empty table gives an empty one; other columns are not read."""
     kind = df.schema[id_col].dataType
     return documents_select(df, id_col, text_col).mapInArrow(task(_encoder(model_file, True)), f"id {kind.simpleString()}, ids array<int>, text string")
 
