@@ -26,6 +26,8 @@ SURE = 5
 LEAF = 4000
 #: Levels after which a node is cut into blocks whose pairs are compared instead.
 DEPTH = 12
+#: Tasks that the documents of one large node are dealt to where they meet what is known of it.
+SALTS = 32
 #: Rows of an id and a key, some MB, up to which texts are looked up where they are read instead of being shuffled.
 BROADCAST = 100_000
 _RNG = np.random.default_rng(20)
@@ -308,7 +310,14 @@ def _branch(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.select("tree", F.explode(children).alias("node"), "key", "weight", "sketch")
 
 
-def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _told(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`rows` with the columns of their node, if `nodes` has it."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    nodes = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(nodes, ["node", "salt"], "left").drop("salt")
+
+
+def _collapsed(rows: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(edges, rows left) of nodes that are too large: each picks a pivot; documents whose sketches all but equal its are
     compared with it in full. Those that are linked to it leave the node unless something there could be linked to
     them but not to the pivot: by the triangle inequality of Jaccard distances, only what is nearer to the pivot than the
@@ -317,8 +326,8 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     threshold's distance and a little."""
     apart = 1 - threshold / 100
     core_far, margin = apart * 8 / 15, SURE * math.sqrt(0.25 / SKETCH)
-    pivot = rows.join(sizes, "node").groupBy("node").agg(F.min_by(F.struct("key", "sketch"), F.xxhash64("key", "node")).alias("p"))
-    rows = rows.join(pivot.select("node", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "node")
+    pivot = rows.groupBy("node").agg(F.min_by(F.struct("key", "sketch"), F.xxhash64("key", "node")).alias("p"))
+    rows = _told(rows, pivot.select("node", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")))
 
     def run(batches):
         for b in batches:
@@ -346,7 +355,7 @@ def _collapsed(rows: DataFrame, sizes: DataFrame, reps: DataFrame, df: DataFrame
     edges = staged(core.join(once, "key").join(other, "pivot").select("key", "pivot", "elements", "pivot_elements").mapInArrow(task(compare), "u binary, v binary, own double"), "links")
     rows = rows.join(edges, (F.col("key") == F.col("u")) & (F.col("pivot") == F.col("v")), "left").withColumn("tied", F.col("u").isNotNull() | (F.col("key") == F.col("pivot"))).drop("u", "v")
     nearest = rows.where("not tied").groupBy("node").agg(F.min("far").alias("open"))
-    left = rows.join(nearest, "node", "left").where(~F.col("tied") | (F.coalesce("own", F.lit(0.0)) + apart + margin >= F.col("open")))
+    left = _told(rows, nearest).where(~F.col("tied") | (F.coalesce("own", F.lit(0.0)) + apart + margin >= F.col("open")))
     return edges.select("u", "v"), left.select(*_ROW)
 
 
@@ -365,7 +374,7 @@ def _leaves(sigs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_c
     leaves, edges = [rows.where(F.col("size") <= leaf).drop("size")], []
     level = 0
     while not (large := rows.where(F.col("size") > leaf)).isEmpty():
-        found, left = _collapsed(large.drop("size"), large.select("node").distinct(), reps, df, id_col, text_col, k, threshold)
+        found, left = _collapsed(large.drop("size"), reps, df, id_col, text_col, k, threshold)
         edges.append(found)
         if level == depth:
             leaves.append(_blocks(left, leaf))
