@@ -172,3 +172,23 @@ def list_array(values: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
 def documents_select(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text, null as empty, under names that no other column can clash with."""
     return small_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def by_group(batches, work, columns: int):
+    """work(rows) for the rows of each value of the first column, which come in a row; rows are tuples of columns."""
+    held, at = [[] for _ in range(columns)], None
+    for b in batches:
+        rows = [c.to_pylist() for c in b.columns]
+        first = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(first[1:] != first[:-1]) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(first)]):
+            if s == e:
+                continue
+            if held[0] and first[s] != at:
+                yield from work(held)
+                held = [[] for _ in range(columns)]
+            at = first[s]
+            for own, c in zip(held, rows):
+                own.extend(c[s:e])
+    if held[0]:
+        yield from work(held)

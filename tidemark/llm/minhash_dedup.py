@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, chunks, documents_select, kept, mix, staged, task, utf8
+from .common import Words, by_group, chunks, documents_select, kept, mix, staged, task, utf8
 from .graph import components
 
 SHINGLE = 5
@@ -128,26 +128,6 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, n_trees: int)
     return _texts(df, id_col, text_col).mapInArrow(task(run), f"id {kind.simpleString()}, digest binary, n long, key binary, roots array<long>, sketch binary")
 
 
-def _by_group(batches, work, columns: int):
-    """work(rows) for the rows of each value of the first column, which come in a row; rows are tuples of columns."""
-    held, at = [[] for _ in range(columns)], None
-    for b in batches:
-        rows = [c.to_pylist() for c in b.columns]
-        first = b.column(0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(first[1:] != first[:-1]) + 1
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(first)]):
-            if s == e:
-                continue
-            if held[0] and first[s] != at:
-                yield from work(held)
-                held = [[] for _ in range(columns)]
-            at = first[s]
-            for own, c in zip(held, rows):
-                own.extend(c[s:e])
-    if held[0]:
-        yield from work(held)
-
-
 def _agreeing(sketch: np.ndarray, agree: int, group: np.ndarray | None = None):
     """(i, j, agreement) of the pairs i < j that agree in so many bytes, in blocks of rows; group: only between
     different values."""
@@ -184,7 +164,7 @@ def _screened(rows: DataFrame, agree: int) -> DataFrame:
 
     def run(batches):
         out = ([], [], [])
-        for found in _by_group(batches, work, 4):
+        for found in by_group(batches, work, 4):
             for held, x in zip(out, found):
                 held.extend(x)
             if len(out[0]) > 50_000:
@@ -269,7 +249,7 @@ def _linked(rows: DataFrame, agree: int, threshold: int) -> DataFrame:
                 yield links
 
     def run(batches):
-        for links in _by_group(batches, work, 5):
+        for links in by_group(batches, work, 5):
             u, v = zip(*links)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 

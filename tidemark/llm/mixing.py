@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, kept, staged
+from .common import WORD, by_group, kept, staged, task
 
 #: Output shards and blocks of a source: at least so many, and more as there are more words.
 SHARDS, BLOCKS = 32, 1024
@@ -107,7 +107,7 @@ def _named(id_col: str, text_col: str, source_col: str):
 
 def source_targets(totals: DataFrame, cap: float = CAP) -> DataFrame:
     """(key, source_size, target) of (key, source_size): sources by code point, the one named "" (null) last, weigh 1, 2, 3, 1, ...
-    and share the sum of all sizes by weight, none above `cap` times its own, what is cut off being shared again. `totals` is staged.
+    and share the sum of all sizes by weight, none above `cap` times its own, what is cut off being shared again. `totals` is read several times.
 
     Sources are ranked in ranges of the order, and the share of one weight is found by sums over all sources, so there
     may be any number of them."""
@@ -122,7 +122,7 @@ def source_targets(totals: DataFrame, cap: float = CAP) -> DataFrame:
     spark = totals.sparkSession
     nth = F.row_number().over(Window.partitionBy("part").orderBy((F.col("key") == "").cast("int"), "key")) - 1
     ranked = placed.withColumn("nth", nth).join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part")
-    ranked = staged(ranked.select("key", "source_size", (1 + (F.col("before") + F.col("nth")) % 3).alias("weight")), "ranked")
+    ranked = staged(ranked.select("key", "source_size", (1 + (F.col("before") + F.col("nth")) % 3).alias("weight")), "ranked", n)
     # a source whose cap is below its share at one unit is below it at all later, larger ones
     unit, over = 0.0, F.lit(False)
     whole = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -155,26 +155,27 @@ class Decided:
 
     def __init__(self, rows: DataFrame, blocks: int | None, shards: int | None, cap: int, seed: int):
         self.seed = seed
-        totals = staged(rows.groupBy("key").agg(F.sum("size").cast("long").alias("source_size")), "totals")
+        # tables whose rows are known are written in as few files as these need
+        totals = kept(rows.groupBy("key").agg(F.sum("size").cast("long").alias("source_size")))
         sources = source_targets(totals, cap)
         of = F.lit(blocks).cast("long") if blocks else F.greatest(F.lit(BLOCKS).cast("long"), F.expr(f"source_size div {WORDS_A_BLOCK}"))
-        self.sources = staged(sources.withColumn("blocks", of), "targets")
-        self.n_sources, words = self.sources.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+        self.n_sources, words = totals.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+        self.sources = staged(sources.withColumn("blocks", of), "targets", self.n_sources)
         self.shards = shards or max(SHARDS, (words or 0) // WORDS_A_SHARD)
-        spans = staged(self._spans(rows), "spans")
+        spans = kept(self._spans(rows))
+        self.n_blocks = spans.count()
         zone = self._zone(rows, spans.where("edge"))
         last = zone.groupBy("key", "block").agg(F.max("spot").alias("spot"))
-        self.edge = staged(zone.select("key", "block", "row"), "edge")
-        self.n_edge = self.edge.count()
+        self.n_edge = zone.count()
+        self.edge = staged(zone.select("key", "block", "row"), "edge", self.n_edge)
         # the place in the last, partial round of each block that it takes anything of
         spans = spans.join(last, ["key", "block"], "left").withColumn("spot", F.when(F.col("whole"), F.col("nth")).otherwise(F.col("spot")))
         rounds = F.when(F.col("rounds") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1), lambda r: r * F.col("n") + F.col("nth"))).otherwise(F.array().cast("array<long>"))
         places = F.concat(rounds, F.when(F.col("spot").isNotNull(), F.array(F.col("rounds") * F.col("n") + F.col("spot"))).otherwise(F.array().cast("array<long>")))
-        spans = staged(spans.select("key", "block", "rounds", "whole", places.alias("places")), "places")
+        spans = staged(spans.select("key", "block", "rounds", "whole", places.alias("places")), "places", self.n_blocks)
         copies = spans.select("key", "block", F.posexplode("places").alias("copy", "place"))
         dealt = copies.join(self._dealt(spans), ["key", "place"]).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).getField("shard").alias("shards"))
-        self.blocks = staged(spans.drop("places").join(dealt, ["key", "block"], "left"), "blocks")
-        self.n_blocks = self.blocks.count()
+        self.blocks = staged(spans.drop("places").join(dealt, ["key", "block"], "left"), "blocks", self.n_blocks)
 
     def block(self, rows: DataFrame) -> DataFrame:
         """`rows` (key, row) with their source's columns and the block that their hash deals them to."""
@@ -214,43 +215,47 @@ class Decided:
     def _zone(self, rows: DataFrame, edge: DataFrame) -> DataFrame:
         """(key, block, row, spot) of the documents around each border that are taken: bounded words of a source, in one task."""
 
-        def fill(docs: pd.DataFrame) -> pd.DataFrame:
-            docs = docs.sort_values(["nth", "spot", "row"], kind="stable")
-            goal = int(docs["rest"].iloc[0] - docs["before"].min())
-            first = int(docs["nth"].min())
-            docs = docs[nearest(docs["size"].tolist(), goal)]
-            docs["spot"] = first + docs["nth"].rank(method="dense").astype("int64") - 1
-            return docs[["key", "block", "row", "spot"]]
+        def fill(own):
+            key, nth, _, row, block, size, rest, before = own
+            take = nearest(size, int(rest[0] - min(before)))
+            spot = {n: nth[0] + i for i, n in enumerate(sorted({n for n, t in zip(nth, take) if t}))}
+            for k, b, r, n, t in zip(key, block, row, nth, take):
+                if t:
+                    yield k, b, r, spot[n]
+
+        def run(batches):
+            found = list(zip(*by_group(batches, fill, 8))) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.string(), pa.int64(), pa.binary(), pa.int64()))], ["key", "block", "row", "spot"])
 
         docs = _joined(self.block(rows.where("size > 0")), edge.select("key", "block", "rest", "before", "nth"), edge.count(), ["key", "block"])
         once = docs.groupBy("key", "block", "row").agg(F.sum("size").alias("size"), *(F.first(c).alias(c) for c in ("rest", "before", "nth")))
         once = once.withColumn("spot", F.xxhash64("row", F.lit(self.seed + 2)))
-        return kept(once.groupBy("key").applyInPandas(fill, "key string, block long, row binary, spot long"))
+        once = once.select("key", "nth", "spot", "row", "block", "size", "rest", "before").repartition("key").sortWithinPartitions("key", "nth", "spot", "row")
+        return kept(once.mapInArrow(task(run), "key string, block long, row binary, spot long"))
 
     def _dealt(self, spans: DataFrame) -> DataFrame:
         """(key, place, shard) of all places. Groups of sources are dealt among shards first, then the sources of each group
         in a task of their own; a source's places go to shards in runs, one after another."""
         quotas = spans.groupBy("key").agg(F.sum(F.size("places")).cast("long").alias("quota")).where("quota > 0").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int"))
-        quotas = staged(quotas, "quotas")
+        quotas = staged(quotas, "quotas", self.n_sources)
         totals = np.zeros(GROUPS, np.int64)
         for r in quotas.groupBy("group").agg(F.sum("quota").alias("n")).collect():
             totals[r.group] = r.n
         shards, seed = self.shards, self.seed
 
-        def deal(own: pd.DataFrame) -> pd.DataFrame:
-            own = own.sort_values("key")
-            group = int(own["group"].iloc[0])
+        def deal(own):
+            group, keys, quota = own[0][0], own[1], np.array(own[2], np.int64)
             shard, who, count = split_quotas(totals, even(int(totals.sum()), shards), np.random.default_rng(seed))
             room = np.zeros(shards, np.int64)
             room[shard[who == group]] = count[who == group]
-            shard, who, count = split_quotas(own["quota"].to_numpy(), room, np.random.default_rng([seed, group]))
+            shard, who, count = split_quotas(quota, room, np.random.default_rng([seed, group]))
             by = np.lexsort((shard, who))
             shard, who, count = shard[by], who[by], count[by]
-            ends = np.cumsum(count)
-            base = np.concatenate(([0], np.cumsum(own["quota"].to_numpy())))[who]
-            return pd.DataFrame({"key": own["key"].to_numpy()[who], "start": ends - count - base, "count": count, "shard": shard.astype(np.int32)})
+            start = np.cumsum(count) - count - (np.cumsum(quota) - quota)[who]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()).take(pa.array(who)), pa.array(start), pa.array(count), pa.array(shard.astype(np.int32))], ["key", "start", "count", "shard"])
 
-        runs = quotas.groupBy("group").applyInPandas(deal, "key string, start long, count long, shard int")
+        groups = quotas.select("group", "key", "quota").repartition("group").sortWithinPartitions("group", "key")
+        runs = groups.mapInArrow(task(lambda batches: by_group(batches, deal, 3)), "key string, start long, count long, shard int")
         return runs.select("key", F.explode(F.expr("sequence(start, start + count - 1)")).alias("place"), "shard")
 
 
