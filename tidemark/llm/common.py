@@ -114,7 +114,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         out = []
@@ -126,8 +126,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below at least `size`."""
-    return _powers(1 << max(20, int(size).bit_length()))
+    """base**i and base**-i modulo 2**64 for i below at least `size`; those that usual chunks need are kept."""
+    bits = max(20, int(size).bit_length())
+    return _powers(1 << bits) if bits == 20 else _powers.__wrapped__(1 << bits)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
