@@ -15,9 +15,9 @@ from .common import chunks, documents_select, list_array, task, utf8
 
 SPACE = "▁"
 #: Chunks that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Pairs of pieces that a worker remembers to be compatible or not, likewise.
-PAIRS = 200_000
+PAIRS = 500_000
 #: A chunk with more characters is not remembered.
 SHORT = 64
 #: A run of spaces with a word, a line break, or spaces at an end. No piece crosses these, so each is encoded alone.
