@@ -55,6 +55,7 @@ class Bpe:
         self.compatible: dict[tuple[str, str], bool] = {}
         self.spaces: dict[int, list[int]] = {}
         self.memory: dict[str, bytes] = {}
+        self.remembered, self.pairs = REMEMBERED, PAIRS
         #: The text of each id. A byte above 127 stands as the lone surrogate that surrogateescape turns into it.
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         for b, i in self.bytes.items():
@@ -85,7 +86,7 @@ class Bpe:
         """Whether the two pieces, side by side, are what their text is encoded as."""
         key = left, right
         if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > PAIRS:
+            if len(self.compatible) > self.pairs:
                 self.compatible.clear()
             known = self.compatible[key] = self.merged(left + right) == [left, right]
         return known
@@ -162,7 +163,7 @@ class Bpe:
             if (ids := memory.get(c)) is None:
                 ids = np.array(self.chunk(c), "<i4").tobytes()
                 if len(c) <= SHORT:
-                    if len(memory) >= REMEMBERED:
+                    if len(memory) >= self.remembered:
                         memory.clear()
                     memory[c] = ids
             found[i] = ids
@@ -186,8 +187,10 @@ class Bpe:
 
 
 @functools.lru_cache(2)
-def load(model_file: str) -> Bpe:
-    return Bpe(model_file)
+def load(model_file: str, remembered: int = REMEMBERED, pairs: int = PAIRS) -> Bpe:
+    bpe = Bpe(model_file)
+    bpe.remembered, bpe.pairs = remembered, pairs
+    return bpe
 
 
 def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,16 +203,17 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     return documents_select(df, id_col, text_col).mapInArrow(task(_encoder(model_file, False)), f"id {kind.simpleString()}, ids array<int>")
 
 
-def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, pairs: int = PAIRS) -> DataFrame:
     """(id, ids, text) for every row: decode(encode()), in one worker, so that ids travel once. A null text counts as empty and has no
-    ids and an empty text; repeated rows give equal results; an empty table gives an empty one; other columns are not read."""
+    ids and an empty text; repeated rows give equal results; an empty table gives an empty one; other columns are not read. A worker remembers
+    `remembered` chunks and `pairs` pairs of pieces at most; the result does not depend on them."""
     kind = df.schema[id_col].dataType
-    return documents_select(df, id_col, text_col).mapInArrow(task(_encoder(model_file, True)), f"id {kind.simpleString()}, ids array<int>, text string")
+    return documents_select(df, id_col, text_col).mapInArrow(task(_encoder(model_file, True, remembered, pairs)), f"id {kind.simpleString()}, ids array<int>, text string")
 
 
-def _encoder(model_file: str, back: bool):
+def _encoder(model_file: str, back: bool, remembered: int = REMEMBERED, pairs: int = PAIRS):
     def run(batches):
-        bpe = load(model_file)
+        bpe = load(model_file, remembered, pairs)
         for b in batches:
             raw = utf8(b.column(1))
             for i, j in chunks(raw):
