@@ -11,6 +11,8 @@ from tidemark.llm.queries import piece_model
 
 #: Near copies of the pipeline: hundredths of the union of their word shingles that are shared; op2 has 85.
 NEAR = 80
+#: Chunks and pairs of pieces that a worker remembers while it encodes: fewer than op9's, since here executors have run four stages before.
+REMEMBERED, PAIRS = 150_000, 200_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document of the mixture, one row for each copy; a null or empty text has
     no tokens; other columns are not read."""
-    both = sentencepiece_bpe.encode_decode(docs, piece_model())
+    both = sentencepiece_bpe.encode_decode(docs, piece_model(), remembered=REMEMBERED, pairs=PAIRS)
     return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
