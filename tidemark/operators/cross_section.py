@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.frames import col, full, ordered, ratio, rolling, whole
 
@@ -51,8 +52,42 @@ def demean(df: DataFrame, x: str, group: str, by=("ts",), weights: str | None =
 
 
 def neutralize(df: DataFrame, x: str, exposures: list[str], by=("ts",), weights: str | None = None, add_intercept: bool = True, out: str = "residual") -> DataFrame:
-    """Weighted least squares residuals from numeric exposures and one-hot categories, date by date. Rows with a null
-    stay null. Dates with too few rows are null throughout. A single category needs no Python: see demean()."""
+    """Weighted least squares residuals from numeric exposures and one-hot categories (strings), date by date. Rows with a null
+    or NaN stay null. Dates with too few rows are null throughout, and rows of a category without weight. An exposure that the ones
+    before explain has no part.
+
+    Means are taken off (by category), then each exposure off those after it and off `x`: sums over one partitioning by
+    date. Only two or more categories, whose columns depend on the data, are solved in Python."""
+    categories = [e for e in exposures if isinstance(df.schema[e].dataType, StringType)]
+    if len(categories) > 1:
+        return _neutralize_categories(df, x, exposures, by, weights, add_intercept, out)
+    numbers = [e for e in exposures if e not in categories]
+    w, known = whole(by), F.lit(True)
+    for c in (x, *numbers, *([weights] if weights else [])):
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    for c in categories:
+        known = known & F.col(c).isNotNull()
+    weight = F.col(weights).cast("double") if weights else F.lit(1.0)
+    every = df.drop(out).columns
+    # the row's own values first, x last
+    parts = {f"__e{i}": F.col(e).cast("double") for i, e in enumerate(numbers)} | {"__x": F.col(x).cast("double")}
+    rows = df.drop(out).withColumns({**{k: F.when(known, v) for k, v in parts.items()}, "__w": F.when(known, weight)})
+    terms = F.lit(len(numbers) + (1 if add_intercept else 0))
+    for c in categories:
+        terms = terms + F.size(F.collect_set(c).over(w)) - (1 if add_intercept else 0)
+    total = lambda c, over: F.sum(F.col("__w") * c).over(over)
+    rows = rows.withColumns({"__enough": F.count("__w").over(w) > terms, **{f"__s{i}": total(F.col(f"__e{i}") ** 2, w) for i in range(len(numbers))}})
+    if categories or add_intercept:
+        own = whole((*by, *categories))
+        rows = rows.withColumns({c: F.col(c) - ratio(total(F.col(c), own), F.sum("__w").over(own)) for c in parts})
+    for i, e in enumerate(list(parts)[:-1]):
+        norm = total(F.col(e) ** 2, w)
+        share = lambda c: F.coalesce(F.when(norm > 1e-20 * F.col(f"__s{i}"), total(F.col(c) * F.col(e), w) / norm), F.lit(0.0))  # noqa: B023, E731
+        rows = rows.withColumns({c: F.col(c) - share(c) * F.col(e) for c in list(parts)[i + 1 :]})
+    return rows.select(*every, F.when(F.col("__enough"), F.col("__x")).alias(out))
+
+
+def _neutralize_categories(df: DataFrame, x: str, exposures: list[str], by, weights: str | None, add_intercept: bool, out: str) -> DataFrame:
     fields = df.drop(out).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` double"
 

@@ -182,7 +182,11 @@ case(
     "neutralize", "symbol ts residual*", lambda s, d: xs.neutralize(fx.daily(s, d), "close", ["volume"]).where("residual is not null"),
     f"SELECT symbol, ts, close - CASE WHEN var_pop(volume) OVER w > 0 THEN regr_intercept(close, volume) OVER w + volume * regr_slope(close, volume) OVER w ELSE avg(close) OVER w END AS residual FROM {D} WINDOW w AS (PARTITION BY ts) QUALIFY count(*) OVER w > 2",
 )
-
+case(
+    "neutralize_weighted", "symbol ts residual*", lambda s, d: xs.neutralize(fx.daily(s, d), "close", ["symbol", "volume"], by=("sectorid",), weights="volume"),
+    f"""SELECT symbol, ts, y - e * coalesce(sum(volume * e * y) OVER (PARTITION BY sectorid) / nullif(sum(volume * e * e) OVER (PARTITION BY sectorid), 0), 0) AS residual FROM (
+    SELECT symbol, sectorid, ts, volume, close - sum(volume * close) OVER g / sum(volume) OVER g AS y, volume - sum(volume * volume) OVER g / sum(volume) OVER g AS e FROM {D} WINDOW g AS (PARTITION BY sectorid, symbol)) AS c""",
+)
 
 def _gwr(weighting: str, **options):
     return lambda s, d: xs.group_weighted_return(fx.daily(s, d), weighting=weighting, **options)
