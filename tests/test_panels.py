@@ -59,6 +59,45 @@ def test_neutralize(spark):
     assert np.allclose(one.sort_values("symbol").residual, two.sort_values("symbol").residual.astype(float))
 
 
+@pytest.mark.parametrize("weights, intercept", [(None, True), ("w", True), ("w", False)])
+@pytest.mark.parametrize("exposures", [["a"], ["a", "b", "twice", "flat"], ["sector"], ["a", "sector", "b"]])
+def test_neutralize_equals_least_squares(spark, exposures, weights, intercept):
+    """Nulls, exposures that others explain, a constant one, and a date with too few rows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for d, n in enumerate((30, 12, 2)):
+        for i in range(n):
+            a, b = (None if rng.random() < 0.1 else float(v) for v in rng.normal(3, 1, 2))
+            rows.append((DAY(d), f"s{i}", float(rng.normal()), a, b, None if a is None else 2 * a, 7.0, [None, "x", "y", "z"][rng.integers(0 if n == 12 else 1, 4)], float(rng.random() + 0.1)))
+    df = spark.createDataFrame(rows, "ts date, symbol string, x double, a double, b double, twice double, flat double, sector string, w double")
+    got = xs.neutralize(df, "x", exposures, weights=weights, add_intercept=intercept).toPandas().sort_values(["ts", "symbol"])
+    want = []
+    for _, day in df.toPandas().sort_values(["ts", "symbol"]).groupby("ts"):
+        ok = day[exposures].notna().all(axis=1).to_numpy()
+        m = pd.get_dummies(day[exposures], drop_first=intercept, dtype=float).to_numpy(float)[ok]
+        m = np.column_stack((np.ones(len(m)), m)) if intercept else m
+        y, left = day.x.to_numpy()[ok], np.full(len(day), np.nan)
+        if len(y) > m.shape[1]:
+            s = np.sqrt(day.w.to_numpy()[ok]) if weights else np.ones(len(y))
+            left[ok] = y - m @ np.linalg.lstsq(m * s[:, None], y * s, rcond=None)[0]
+        want += left.tolist()
+    assert got.columns.tolist() == [*df.columns, "residual"]
+    assert np.allclose(got.residual.astype(float), want, equal_nan=True)
+
+
+def test_open_days_equal_brute_force(spark):
+    """Spans that touch, nest, repeat and go over several days of entries; a trade that never closed adds nothing."""
+    rng = np.random.default_rng(6)
+    at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=int(h))
+    spans = [(g, int(a), int(a + rng.integers(0, 60) ** 2 // 60)) for g in "ab" for a in rng.integers(0, 900, 60)]
+    spans += [("c", 5, 5), ("c", 30, 100), ("c", 40, 50), ("c", 30, 100), ("c", 100, 101), ("c", 400, 401)]
+    rows = [(g, at(a), at(b)) for g, a, b in spans] + [("c", at(200), None)]
+    got = {r["group"]: r["__open"] for r in trades._open_days(spark.createDataFrame(rows, "group string, entry_time timestamp, exit_time timestamp"), ["group"]).collect()}
+    for g in "abc":
+        hours = {h for k, a, b in spans if k == g for h in range(a, b)}
+        assert got[g] == pytest.approx(len(hours) / 24)
+
+
 PRICES = [100, 103, 104, 100, 97, 96, 100, 101, 101]
 
 

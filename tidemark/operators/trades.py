@@ -39,13 +39,16 @@ def trades_to_positions(trades: DataFrame, bars: DataFrame, by=BY, order=ORDER)
 
 
 def _open_days(trades: DataFrame, by: list[str]) -> DataFrame:
-    """(by, __open): days that the union of the trades' spans covers."""
-    w = Window.partitionBy(*by).orderBy("entry_time", "exit_time")
-    rows = trades.select(*by, "entry_time", "exit_time").withColumn("__end", F.max("exit_time").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__new", F.coalesce((F.col("entry_time") > F.col("__end")).cast("int"), F.lit(1)))
-    rows = rows.withColumn("__g", F.sum("__new").over(w))
-    runs = rows.groupBy(*by, "__g").agg(F.min("entry_time").alias("a"), F.max("exit_time").alias("b"))
-    return runs.groupBy(*by).agg(F.sum(_days("b", "a")).alias("__open"))
+    """(by, __open): days that the union of the trades' spans covers. Each entry adds what no earlier one covers: latest exits
+    are carried within a day of entries, and from day to day; only days are put in order in one task."""
+    t = trades.select(*by, *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("entry_time", "exit_time")))
+    t = t.groupBy(*by, "entry_time").agg(F.max("exit_time").alias("exit_time")).withColumn("__day", F.floor(F.col("entry_time") / 86_400_000_000))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    days = t.groupBy(*by, "__day").agg(F.max("exit_time").alias("__end"))
+    days = days.select(*by, "__day", F.max("__end").over(before(*by).orderBy("__day")).alias("__carried"))
+    rows = t.withColumn("__end", F.max("exit_time").over(before(*by, "__day").orderBy("entry_time"))).join(days, [*by, "__day"])
+    fresh = F.col("exit_time") - F.greatest("entry_time", "__end", "__carried")
+    return rows.groupBy(*by).agg((F.sum(F.greatest(fresh, F.lit(0))) / 86_400_000_000).alias("__open"))
 
 
 def _days(end, start):
