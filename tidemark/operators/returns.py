@@ -345,36 +345,66 @@ def netto_number(df: DataFrame, profit: str, unit_of_risk: str, max_adverse_excu
 
 def factor_regression(df: DataFrame, factors: list[str], ret: str = "ret", rf: str | None = None, covariance: str = "nonrobust", confidence: float = 0.95, by=BY) -> DataFrame:
     """(by, term, coef, std_err, t_stat, lower, upper, r_squared, adj_r_squared, residual_vol, n): least squares of returns
-    on factors and a constant, plain or HC3 errors. Products are summed in Spark; only matrices of the factors' number
-    are solved in Python. Bounds are normal ones."""
+    on factors and a constant, plain or HC3 errors, over rows without nulls. Central moments are aggregated in Spark, for HC3 a second
+    time with the residuals; only matrices of the factors' number are solved in Python, one row a series. Among factors that
+    explain each other the coefficients are the shortest by their centred values. Bounds are normal ones."""
+    x = [f"__f{i}" for i in range(len(factors))]
+    names, k, z = ["Alpha", *factors], len(factors), NormalDist().inv_cdf(0.5 + confidence / 2)
     y = F.col(ret) - (F.col(rf) if rf else 0.0)
-    rows = df.select(*by, y.cast("double").alias("__y"), F.lit(1.0).alias("Alpha"), *(F.col(f).cast("double").alias(f) for f in factors)).dropna()
-    terms, z = ["Alpha", *factors], NormalDist().inv_cdf(0.5 + confidence / 2)
-    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + ", term string, coef double, std_err double, t_stat double, lower double, upper double, r_squared double, adj_r_squared double, residual_vol double, n long"
+    rows = df.select(*by, *(F.col(f).cast("double").alias(c) for f, c in zip(factors, x)), y.cast("double").alias("__y")).dropna()
+    every, n = [*x, "__y"], F.count(F.lit(1))
+    sums = rows.groupBy(*by).agg(n.alias("__n"), F.array(*(F.avg(c) for c in every)).alias("__m"), F.array(*(F.covar_pop(c, d) * n for c in every for d in every)).alias("__s"))
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def solved(frames):
         import numpy as np
 
-        x, v = frame[terms].to_numpy(), frame["__y"].to_numpy()
-        n, k = x.shape
-        inverse = np.linalg.pinv(x.T @ x)
-        b = inverse @ x.T @ v
-        e = v - x @ b
-        if covariance == "HC3":
-            s = e / np.maximum(1 - np.einsum("ij,jk,ik->i", x, inverse, x), 1e-12)
-            cov = inverse @ (x.T * s**2) @ x @ inverse
-        else:
-            cov = inverse * (e @ e / max(n - k, 1))
-        se = np.sqrt(np.diag(cov))
-        total = ((v - v.mean()) ** 2).sum()
-        r2 = 1 - e @ e / total if total else float("nan")
-        out = pd.DataFrame({"term": terms, "coef": b, "std_err": se, "t_stat": b / np.where(se > 0, se, np.nan), "lower": b - z * se, "upper": b + z * se})
-        out = out.assign(r_squared=r2, adj_r_squared=1 - (1 - r2) * (n - 1) / max(n - k, 1), residual_vol=float(e.std(ddof=1)) if n > 1 else None, n=n)
-        for c in reversed(list(by)):
-            out.insert(0, c, frame[c].iloc[0])
-        return out
-
-    return rows.groupBy(*by).applyInPandas(run, ddl)
+        for frame in frames:
+            moments = [np.array(v, float).reshape(k + 1, k + 1) for v in frame["__s"]]
+            inverse = [np.linalg.pinv(m[:k, :k], hermitian=True) for m in moments]
+            yield frame.assign(__c=[c.ravel().tolist() for c in inverse], __b=[(c @ m[:k, k]).tolist() for c, m in zip(inverse, moments)])
+
+    made = sums.mapInPandas(solved, f"{keys}, __n long, __m array<double>, __s array<double>, __c array<double>, __b array<double>")
+    if covariance == "HC3":
+        own = rows.join(made, list(by))
+        off = [F.col(c) - F.col("__m")[i] for i, c in enumerate(x)]
+        left, lever = F.col("__y") - F.col("__m")[k], 1 / F.col("__n")
+        for i in range(k):
+            left = left - F.col("__b")[i] * off[i]
+            for j in range(k):
+                lever = lever + F.col("__c")[i * k + j] * off[i] * off[j]
+        design = [F.lit(1.0), *off]
+        squared = (left / F.greatest(1 - lever, F.lit(1e-12))) ** 2
+        own = own.select(*by, squared.alias("__e"), *(c.alias(f"__d{i}") for i, c in enumerate(design)))
+        spread = own.groupBy(*by).agg(F.array(*(F.sum(F.col("__e") * F.col(f"__d{i}") * F.col(f"__d{j}")) for i in range(k + 1) for j in range(k + 1))).alias("__v"))
+        made = made.join(spread, list(by))
+    else:
+        made = made.withColumn("__v", F.lit(None).cast("array<double>"))
+
+    def shown(frames):
+        import numpy as np
+
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                n, mean, beta = row["__n"], np.array(row["__m"], float), np.array(row["__b"], float)
+                moments = np.array(row["__s"], float).reshape(k + 1, k + 1)
+                inverse = np.zeros((k + 1, k + 1))  # of centred factors and a constant
+                inverse[0, 0], inverse[1:, 1:] = 1 / n, np.array(row["__c"], float).reshape(k, k)
+                total = moments[k, k]
+                left = max(0.0, total - beta @ moments[:k, k])
+                cov = inverse * (left / max(n - k - 1, 1)) if row["__v"] is None else inverse @ np.array(row["__v"], float).reshape(k + 1, k + 1) @ inverse
+                back = np.eye(k + 1)
+                back[0, 1:] = -mean[:k]
+                se = np.sqrt(np.diag(back @ cov @ back.T))
+                b = np.concatenate(([mean[k] - beta @ mean[:k]], beta))
+                r2 = 1 - left / total if total else float("nan")
+                out = pd.DataFrame({"term": names, "coef": b, "std_err": se, "t_stat": b / np.where(se > 0, se, np.nan), "lower": b - z * se, "upper": b + z * se})
+                out = out.assign(r_squared=r2, adj_r_squared=1 - (1 - r2) * (n - 1) / max(n - k - 1, 1), residual_vol=(left / (n - 1)) ** 0.5 if n > 1 else None, n=n)
+                for c in reversed(list(by)):
+                    out.insert(0, c, row[c])
+                yield out
+
+    return made.mapInPandas(shown, f"{keys}, term string, coef double, std_err double, t_stat double, lower double, upper double, r_squared double, adj_r_squared double, residual_vol double, n long")
 
 
 def rolling_factor_regression(df: DataFrame, factors: list[str], ret: str = "ret", window: int = 63, by=BY, order=ORDER) -> DataFrame:
