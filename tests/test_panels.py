@@ -201,6 +201,13 @@ def test_factor_betas(spark):
     for covariance in ("nonrobust", "HC3"):
         got = {r.term: r for r in returns.factor_regression(df, ["mkt", "smb"], covariance=covariance).collect()}
         assert abs(got["mkt"].coef - 1.2) < 0.1 and abs(got["smb"].coef + 0.3) < 0.1 and got["mkt"].r_squared > 0.9 and got["mkt"].lower < 1.2 < got["mkt"].upper
+        x = np.column_stack((np.ones(400), f))
+        inverse = np.linalg.inv(x.T @ x)
+        left = y - x @ inverse @ x.T @ y
+        meat = (x.T * (left / (1 - np.einsum("ij,jk,ik->i", x, inverse, x))) ** 2) @ x
+        errors = np.sqrt(np.diag(inverse @ meat @ inverse if covariance == "HC3" else inverse * (left @ left) / 397))
+        assert np.allclose([got[t].coef for t in ("Alpha", "mkt", "smb")], inverse @ x.T @ y) and np.allclose([got[t].std_err for t in ("Alpha", "mkt", "smb")], errors)
+        assert got["smb"].residual_vol == pytest.approx(left.std(ddof=1)) and got["smb"].r_squared == pytest.approx(1 - left @ left / ((y - y.mean()) ** 2).sum())
     parts = returns.factor_contributions(df, ["mkt", "smb"]).toPandas()
     assert np.allclose(parts.alpha + parts.mkt_part + parts.smb_part + parts.residual, parts.ret)
 

@@ -270,6 +270,13 @@ case("probabilistic_ratio", "symbol probability*", lambda s, d: ret.probabilisti
 case("factor_regression", "symbol term coef* std_err* t_stat* r_squared* n#", lambda s, d: ret.factor_regression(fx.stream(s, d), ["bench"]),
      f"""SELECT symbol, unnest(['Alpha', 'bench']) AS term, unnest([ic, b]) AS coef, unnest([sqrt(v * (1.0 / n + mx * mx / sxx)), sqrt(v / sxx)]) AS std_err, unnest([ic / sqrt(v * (1.0 / n + mx * mx / sxx)), b / sqrt(v / sxx)]) AS t_stat, r2 AS r_squared, n FROM (
  SELECT *, (syy - b * b * sxx) / (n - 2) AS v FROM (SELECT symbol, count(*) AS n, regr_slope(ret, bench) AS b, regr_intercept(ret, bench) AS ic, regr_sxx(ret, bench) AS sxx, regr_syy(ret, bench) AS syy, avg(bench) AS mx, regr_r2(ret, bench) AS r2 FROM {S} GROUP BY symbol) AS a) AS q""")
+case(
+    "factor_regression_hc3", "symbol term coef* std_err*", lambda s, d: ret.factor_regression(fx.stream(s, d), ["bench"], covariance="HC3"),
+    f"""WITH m AS (SELECT symbol, count(*) AS n, avg(bench) AS mean, var_pop(bench) * count(*) AS sxx, regr_slope(ret, bench) AS b, regr_intercept(ret, bench) AS a FROM {S} GROUP BY symbol),
+    e AS (SELECT symbol, n, mean, sxx, a, b, bench - mean AS d, pow((ret - a - b * bench) / greatest(1 - 1.0::DOUBLE / n - pow(bench - mean, 2) / sxx, 1e-12), 2) AS q FROM {S} JOIN m USING (symbol)),
+    v AS (SELECT symbol, n, mean, sxx, a, b, sum(q) AS q0, sum(q * d) AS q1, sum(q * d * d) AS q2 FROM e GROUP BY ALL)
+    SELECT symbol, 'Alpha' AS term, a AS coef, sqrt(q0 / n / n - 2 * mean * q1 / n / sxx + mean * mean * q2 / sxx / sxx) AS std_err FROM v UNION ALL SELECT symbol, 'bench', b, sqrt(q2) / sxx FROM v""",
+)
 case("rolling_factor_regression", "symbol ts alpha* beta_bench* r_squared* n_obs#", lambda s, d: ret.rolling_factor_regression(fx.stream(s, d), ["bench"]),
      f"SELECT symbol, ts, {_full('regr_intercept(ret, bench)', 'ret', 63)} AS alpha, {_full('regr_slope(ret, bench)', 'ret', 63)} AS beta_bench, {_full('regr_r2(ret, bench)', 'ret', 63)} AS r_squared, CASE WHEN count(ret) {_w(63)} >= 63 THEN 63 END AS n_obs FROM {S}")
 case("factor_contributions", "symbol ts alpha* bench_part* residual*", lambda s, d: ret.factor_contributions(fx.stream(s, d), ["bench"]),
