@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import time
 from itertools import combinations
@@ -98,6 +99,22 @@ def test_long_and_repeated_urls_are_mined_in_bounded_steps(spark):
     assert rules and all(len(r.tokens) <= 3 for r in rules) and any(r.verdict == "block" for r in rules)
 
 
+def test_no_combination_of_a_long_url_is_lost(spark):
+    """URLs of 45 items and more, whose rules are of their rarest ones; part of one rule's support is in short URLs."""
+    rng = random.Random(3)
+    two = lambda name, i: [f"{name}{k}" for k in range(3) if k != i % 3]
+    rows = []
+    for i in range(45):
+        own = [f"d{k}" for k in range(46) if rng.random() < 0.93]
+        own += ["t0", "t1", "t2"] if i % 3 == 0 else two("t", i // 3)
+        rows.append((f"http://a{i % 3}.org/" + "/".join(own + ["u0", "u1", "u2"] * (i % 6 == 0)), "block" if i % 3 == 0 else "allow"))
+    rows += [(f"http://c{i % 9}.com/" + "/".join(["u0", "u1", "u2"] if i % 4 == 0 else two("u", i)), "block" if i % 4 == 0 else "allow") for i in range(32)]
+    _, _, listed, got, want = mined_and_brute(spark, rows, 13)
+    assert sum(len(t) > url_filter.ITEMS for _, t, _ in listed) == 45
+    assert {(("path:t0", "path:t1", "path:t2"), "block"), (("path:u0", "path:u1", "path:u2"), "block")} <= want.keys()
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-8 for k in got for a, b in zip(got[k], want[k]))
+
+
 def test_query_decides_by_mined_rules(spark, tmp_path):
     pages = [(i, f"http://{'farm' if i % 4 == 0 else f'h{i % 30}'}.org/{'fr' if i % 3 else 'en'}/{i}") for i in range(400)]
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")

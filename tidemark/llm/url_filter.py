@@ -16,7 +16,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.6, 3
 #: URLs with a rule and its label, however few are labelled; deviations by which the rule's share of its label is above the class's own.
 LEAST, SURE = 10, 1.645
-#: Tokens of one URL that combinations are mined from; how many are side by side in a transaction.
+#: Items of one URL up to which it is dealt without a look at their pairs; how many are side by side in a transaction.
 ITEMS, PAIR = 40, 2
 #: Rows of a few tokens, some MB, up to which rules and frequent tokens are broadcast; beyond it the joins shuffle.
 BROADCAST = 100_000
@@ -58,10 +58,11 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def _transactions(items: str, label: str, longest: int) -> Column:
-    """Arrays of a few items and the label, of which one at least holds any `longest` of the items: items side by side
-    are put together, and every `longest` of these groups are one transaction."""
-    groups = f"transform(sequence(0, (size({items}) - 1) div {PAIR}), g -> slice({items}, g * {PAIR} + 1, {PAIR}))"
+def _transactions(items: str, label: str, longest: int, side: int = PAIR, first: str = "") -> str:
+    """Arrays of a few items and the label, of which one at least holds any `longest` of the items: `side` items are put
+    together, and every `longest` of these groups are one transaction, after the items `first` where given."""
+    groups = f"transform(sequence(0, (size({items}) - 1) div {side}), g -> slice({items}, g * {side} + 1, {side}))"
+    begin = [first] if first else []
 
     def chosen(level: int, parts: list[str]) -> str:
         if level == longest:
@@ -70,8 +71,33 @@ def _transactions(items: str, label: str, longest: int) -> Column:
         inner = chosen(level + 1, [*parts, f"element_at(groups, x{level} + 1)"])
         return f"flatten(transform(filter(sequence(0, size(groups) - 1), y -> y > {after}), x{level} -> {inner}))"
 
-    many = chosen(0, []).replace("groups", f"({groups})")
-    return F.expr(f"CASE WHEN size({items}) = 0 THEN array() WHEN size({items}) <= {PAIR * longest} THEN array(array_append({items}, {label})) ELSE {many} END")
+    many = chosen(0, begin).replace("groups", f"({groups})")
+    none = f"array(array_append({first}, {label}))" if first else "array()"
+    return f"CASE WHEN size({items}) = 0 THEN {none} WHEN size({items}) <= {side * longest} THEN array(array_append(concat({', '.join([*begin, items])}), {label})) ELSE {many} END"
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(row, label, i, j, a, b) for any two items of a row: places and names, the more frequent item first."""
+    first = rows.select("row", "label", "items", F.posexplode("items").alias("i", "a"))
+    second = first.select("row", "label", "i", "a", F.posexplode(F.expr("slice(items, i + 2, size(items))")).alias("k", "b"))
+    return second.select("row", "label", "i", (F.col("i") + F.col("k") + 1).alias("j"), "a", "b")
+
+
+def _long_transactions(rows: DataFrame, need: int, longest: int) -> DataFrame:
+    """(items): transactions of URLs with more than ITEMS items, of which one at least holds any `longest` items that may be a
+    rule's: those of which any two are in `need` URLs of the row's label. Two such items are dealt with those after them
+    that go with both."""
+    often = _pairs(rows).groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).drop("n")
+    own = rows.where(F.size("items") > ITEMS)
+    near = _pairs(own).join(_sized(staged(often, "pairs")), ["label", "a", "b"]).groupBy("row", "i").agg(F.sort_array(F.collect_list("j")).alias("near"))
+    near = near.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "near"))).alias("by"))
+    near = own.join(near, "row").select("tag", "items", F.expr("transform(sequence(0, size(items) - 1), i -> coalesce(by[i], array()))").alias("near"))
+    more = max(0, longest - 2)
+    dealt = _transactions("both", "tag", more, 2 * (longest - 1) // max(1, more), "array(items[i], items[j])")
+    both = "transform(array_intersect(near[i], near[j]), k -> items[k])"
+    every = f"flatten(transform(near[i], j -> flatten(transform(array({both}), both -> {dealt}))))"
+    each = staged(near, "near").select("*", F.explode(F.expr("sequence(0, size(items) - 1)")).alias("i"))
+    return each.select(F.explode(F.expr(every)).alias("items"))
 
 
 def _indexed(rules: DataFrame, often: DataFrame | None = None) -> DataFrame:
@@ -94,9 +120,9 @@ def mined(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
 
     Tokens that occur in the same URLs are one item, named by the first of them, and rarer ones than the support are no
     items. FP-growth mines transactions of at most six items and the label, so that no longer combination is ever
-    counted: a URL gives one for every three pairs of its items. Supports there are no less than the true ones; the combinations
-    found are then counted once a URL through the index. Of a URL of more than ITEMS items the most frequent are combined;
-    all are counted alone. URLs that are null or repeat are rows like any other; a table without labels gives no rules."""
+    counted: a URL gives one for every three pairs of its items. Of more than ITEMS items only those are put together of which any two
+    have the support with the URL's label, as those of any rule have: no combination is lost. Supports there are no less than
+    the true ones; the combinations found are then counted once a URL through the index. URLs that are null or repeat are rows like any other; a table without labels gives no rules."""
     baskets = with_parts(labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("string").alias("label")))
     baskets = staged(baskets.select("label", F.xxhash64("url", "label").cast("decimal(20)").alias("h"), tokens().alias("own")), "baskets")
     spark = labelled.sparkSession
@@ -113,10 +139,14 @@ def mined(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
     rows = rows.select("row", "label", F.explode("own").alias("token")).join(named, "token").where("token = item")
     rows = rows.groupBy("row", "label").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "item"))).getField("item").alias("items"))
     rows = staged(rows.withColumn("tag", F.concat(F.lit("="), "label")), "items")
-    deals = staged(rows.withColumn("items", F.slice("items", 1, ITEMS)).select(F.explode(_transactions("items", "tag", longest)).alias("items")), "deals")
+    deals = rows.where(F.size("items") <= ITEMS).select(F.explode(F.expr(_transactions("items", "tag", longest))).alias("items"))
+    if not rows.where(F.size("items") > ITEMS).isEmpty():
+        deals = deals.union(_long_transactions(rows, need, longest))
+    deals = staged(deals, "deals")
     if not (dealt := deals.count()):
         return spark.createDataFrame([], shape)
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, need / dealt)).fit(deals).freqItemsets.select("items")
+    # FPGrowth rounds its share of the transactions up: half a one less, lest a last digit asks for one more than `need`
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / dealt)).fit(deals).freqItemsets.select("items")
     label = F.filter("items", lambda x: F.startswith(x, F.lit("=")))
     plain = F.filter("items", lambda x: ~F.startswith(x, F.lit("=")))
     pairs = found.where(F.size(label) == 1).select(F.array_sort(plain).alias("tokens")).where((F.size("tokens") > 0) & (F.size("tokens") <= longest))
@@ -132,7 +162,7 @@ def mined(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
     low = (share + sure * sure / (2 * n) - sure * F.sqrt(share * (1 - share) / n + sure * sure / (4 * n * n))) / (1 + sure * sure / n)
     rules = counts.withColumns({"confidence": F.round(here / (here + else_), 9), "low": low}).where((F.col("confidence") >= confidence) & (F.col("low") > F.col("own") / total))
     rules = staged(rules.select("tokens", "verdict", "confidence", (F.col("hits") / total).alias("support")), "rules")
-    wider = rules.select(F.col("tokens").alias("w"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    wider = rules.where(F.size("tokens") < longest).select(F.col("tokens").alias("w"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     # a wider rule shares each of its tokens with the narrower one: join by the first, then compare
     first = rules.select("*", F.explode("tokens").alias("lead"))
     beaten = first.join(wider.withColumn("lead", F.col("w")[0]), "lead")
