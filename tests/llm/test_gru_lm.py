@@ -44,6 +44,30 @@ def test_counts_equal_brute_force_and_score_is_better(spark):
         assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.02 * sum(r.n_tokens for r in out)
 
 
+def test_words_beyond_the_most_frequent_thousand_are_learnt_from_their_context():
+    """Words of 20 topics, each rarer than 1,030 words that are in all texts alike; the query's own layers."""
+    rng = random.Random(1)
+    texts = [[*(b"c%dq" % rng.randrange(1030) if rng.random() < 0.7 else b"t%d" % (i % 20 * 40 + rng.randrange(40)) for _ in range(60)), G.END] for i in range(3200)]
+    count = Counter(w for t in texts[200:] for w in t)
+    n, v = sum(count.values()), len(count)
+
+    def vocabulary(tail):
+        tokens, words = np.zeros(G.TAIL), np.zeros(G.TAIL)
+        for w in tail:
+            tokens[G.tail_class(w)] += count[w]
+            words[G.tail_class(w)] += 1
+        return G.Vocabulary(list(count.items()), tokens, words, n, v)
+
+    first = vocabulary(count)
+    voc = vocabulary([w for w in count if first.number[w] >= first.size])
+    net = G.Gru(voc.classes, (voc.head_mass, voc.tail_mass))
+    net.learn([voc.read(t)[1] for t in texts[200:]], voc.end)
+    out = [voc.read(t) for t in texts[:200]]
+    score = net.score([token for _, token in out], voc.end).sum() / math.log(10) + sum(voc.within[number].sum() for number, _ in out)
+    base = sum(math.log10((count[w] + 1) / (n + v + 1)) for t in texts[:200] for w in t)
+    assert score > base + 0.03 * sum(map(len, texts[:200]))
+
+
 def model(seed=0):
     rng = np.random.default_rng(seed)
     voc = G.Vocabulary([(b"w%d" % i, 100 - i) for i in range(70)] + [(G.END, 9)], np.full(G.TAIL, 50.0), np.full(G.TAIL, 9.0), 5000, 400, head=40)

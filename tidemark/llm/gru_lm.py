@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import list_array, small_batches, staged, task, utf8
 
-HIDDEN = 8
+HIDDEN = 16
 #: Words of the head, each with weights of its own, and of a class of them.
-HEAD, CLASS = 1024, 64
+HEAD, CLASS = 2048, 64
 #: Tail classes: other words by a hash of their last three bytes; within one, words have their corpus shares.
 TAIL = 32
 #: Words whose corpus counts every worker knows; those of the rest come by a join. None is longer than LONGEST bytes.
