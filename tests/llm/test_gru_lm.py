@@ -3,8 +3,10 @@ import os
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import gru_lm as G, queries
@@ -95,6 +97,30 @@ def test_scores_do_not_depend_on_batches_or_windows():
     assert np.allclose(whole, [g.score([t], voc.end, window=w)[0] for t, w in zip(texts, (1, 7, 3, 32, 50, 200))])
 
 
+def test_long_texts_of_several_batches_are_scored_side_by_side(monkeypatch):
+    """Five batches with one long text each take the steps of one, and the scores of each text alone."""
+    rng = np.random.default_rng(5)
+    texts = [[b" ".join(b"w%d" % k for k in rng.integers(0, 90, n)) for n in (400 - b, 3, 0, 20)] for b in range(5)]
+    voc, g = model()
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(4 * b, 4 * b + 4)), pa.array([b"k"] * 4), pa.array([False] * 4), pa.array([t.decode() for t in own])], ["id", "key", "held_out", "text"]) for b, own in enumerate(texts)]
+    steps, step = [], g.step
+    monkeypatch.setattr(g, "step", lambda *a: steps.append(1) or step(*a))
+
+    class Docs:
+        """What a Spark table would hand to one worker."""
+
+        schema, sparkSession = {"id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))}, property(lambda self: self)
+        sparkContext, broadcast = sparkSession, lambda self, value: SimpleNamespace(value=value)
+        select, mapInArrow = lambda self, *names: self, lambda self, run, schema: list(run(iter(batches)))
+
+    got = [r for b in G._scored(Docs(), voc, g) for r in b.to_pylist()]
+    assert [r["id"] for r in got] == list(range(20)) and len(steps) < 600
+    for r, t in zip(got, (t for own in texts for t in own), strict=True):
+        number, token = voc.read([*G.words_of(t), G.END])
+        assert r["n_tokens"] == len(token) and r["n_rare"] == (number < 0).sum()
+        assert math.isclose(r["score"], voc.within[number[number >= 0]].sum() + g.score([token], voc.end)[0] / math.log(10), rel_tol=1e-6)
+
+
 def test_gradients(monkeypatch):
     voc, g = model()
     rng = np.random.default_rng(3)

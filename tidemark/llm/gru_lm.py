@@ -26,8 +26,8 @@ REPLICA, ROUNDS, BLOCK = 6_000_000, 3, 8192
 BEYOND = 1.5
 #: Steps that gradients go back, texts side by side at most and at least, tokens for each of them, and tokens that they are dealt from.
 WINDOW, LANES, FEW, LANE, DEALT = 16, 256, 32, 8192, 3_000_000
-#: Texts that are scored side by side.
-SIDE = 512
+#: Texts that are scored side by side, and bytes of text that they are chosen from, so that few long ones seldom run alone.
+SIDE, TOGETHER = 512, 1 << 25
 #: Tokens whose classes are computed at once, so that their numbers stay in a processor's cache.
 COLUMNS = 512
 RATE = 0.2
@@ -79,19 +79,22 @@ class Vocabulary:
         return number, token
 
 
-def _log_softmax(logit: np.ndarray, want: np.ndarray, at: np.ndarray, reach: float, back: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """(log of the wanted share of each column, its gradient by logit). `reach` bounds the logits: far ones are shifted first."""
-    if reach > 80:
+def _exp(logit: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, in place, and their sum) of each column. `reach` bounds the logits: far ones are shifted first, which
+    leaves shares as they are."""
+    if reach > 60:
         logit -= logit.max(axis=0)
-    out = logit[want, at]
     e = np.exp(logit, out=logit)
-    total = e.sum(axis=0)
-    out -= np.log(total)
-    if not back:
-        return out, None
-    e *= -1 / total
-    e[want, at] += 1
-    return out, e
+    return e, np.ones(len(e), e.dtype) @ e
+
+
+def _logs(logit: np.ndarray, want: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
+    """The log of the wanted share of each column."""
+    if reach > 60:
+        logit -= logit.max(axis=0)
+    out = logit[want, at]
+    out -= np.log(_exp(logit, 0)[1])
+    return out
 
 
 class Gru:
@@ -132,47 +135,67 @@ class Gru:
         out += n
         return out
 
-    def output(self, state: np.ndarray, token: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """(natural log of the probability of each token, or of its tail class; gradient of the sum by state). Rows are
-        sorted by class, and stand in columns, so that sums run along memory."""
-        p, heads = self.p, self.classes * CLASS
+    def output(self, state: np.ndarray, token: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """(natural log of the probability of each token, or of its tail class; None) or, with `grads`, (None; gradient of
+        the sum by state). States are sorted by class and stand in columns, so that sums run along memory, with a row of ones,
+        by which one product has the biases too."""
+        p, h, heads = self.p, self.hidden, self.classes * CLASS
         of = np.where(token < heads, token // CLASS, token - heads + self.classes).astype(np.int16)
         order = np.argsort(of, kind="stable")
-        of, t, s = of[order], token[order], state[order]
+        of, t = of[order], token[order]
+        s = np.empty((h + 1, len(t)), state.dtype)
+        np.take(state.T, order, axis=1, out=s[:h], mode="clip")
+        s[h] = 1
         edge = np.searchsorted(of, np.arange(self.classes + 1))
         at = np.arange(len(t))
-        most = max(1.0, float(np.abs(s).max(initial=0)))
+        most = max(1.0, float(s.max()), -float(s.min()))
         reach = np.abs(p["bc"]).max() + most * np.abs(p["wc"]).sum(axis=0).max()
-        out = np.empty(len(t), s.dtype)
-        back = None if grads is None else np.empty((self.hidden, len(t)), s.dtype)
+        reaches = np.abs(p["bw"]).max(axis=1) + most * np.abs(p["ww"]).sum(axis=2).max(axis=1)
+        wc = np.concatenate((p["wc"], p["bc"][None])).T.copy()
+        ww = np.concatenate((p["ww"], p["bw"][:, :, None]), axis=2)
+        out = back = None
+        if grads is None:
+            out = np.empty(len(t), s.dtype)
+        else:
+            back = np.empty((h, len(t)), s.dtype)
+            by_c = np.zeros_like(wc)
         for i in range(0, len(t), COLUMNS):
             j = min(i + COLUMNS, len(t))
-            logit = p["wc"].T @ s[i:j].T
-            logit += p["bc"][:, None]
-            out[i:j], d = _log_softmax(logit, of[i:j], at[: j - i], reach, grads is not None)
-            if grads is not None:
-                grads["wc"] += s[i:j].T @ d.T
-                grads["bc"] += d.sum(axis=1)
-                back[:, i:j] = p["wc"] @ d
+            logit = wc @ s[:, i:j]
+            if grads is None:
+                out[i:j] = _logs(logit, of[i:j], at[: j - i], reach)
+                continue
+            # the gradient by logit, but for the factor `scale`, which is taken into what it is multiplied by
+            d, total = _exp(logit, reach)
+            d[of[i:j], at[: j - i]] -= total
+            scale = -1 / total
+            by_c += d @ (s[:, i:j] * scale).T
+            np.matmul(p["wc"], d, out=back[:, i:j])
+            back[:, i:j] *= scale
         for k in np.flatnonzero(np.diff(edge)).tolist():
             i, j = edge[k], edge[k + 1]
-            w, bias = p["ww"][k], p["bw"][k]
-            reach = np.abs(bias).max() + most * np.abs(w).sum(axis=1).max()
-            logit = w @ s[i:j].T
-            logit += bias[:, None]
-            more, d = _log_softmax(logit, t[i:j] - k * CLASS, at[: j - i], reach, grads is not None)
-            out[i:j] += more
-            if grads is not None:
-                grads["ww"][k] += d @ s[i:j]
-                grads["bw"][k] += d.sum(axis=1)
-                back[:, i:j] += w.T @ d
-        logs = np.empty_like(out)
-        logs[order] = out
-        if back is not None:
-            by = np.empty(s.shape, back.dtype)
-            by[order] = back.T
-            back = by
-        return logs, back
+            logit = ww[k] @ s[:, i:j]
+            if grads is None:
+                out[i:j] += _logs(logit, t[i:j] - k * CLASS, at[: j - i], reaches[k])
+                continue
+            d, total = _exp(logit, reaches[k])
+            d[t[i:j] - k * CLASS, at[: j - i]] -= total
+            scale = -1 / total
+            by_w = d @ (s[:, i:j] * scale).T
+            grads["ww"][k] += by_w[:, :h]
+            grads["bw"][k] += by_w[:, h]
+            more = p["ww"][k].T @ d
+            more *= scale
+            back[:, i:j] += more
+        if grads is None:
+            logs = np.empty_like(out)
+            logs[order] = out
+            return logs, None
+        grads["wc"] += by_c[:, :h].T
+        grads["bc"] += by_c[:, h]
+        place = np.empty_like(order)
+        place[order] = at
+        return None, np.take(back, place, axis=1).T
 
     def learn(self, texts: list[np.ndarray], end: int, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> int:
         """One pass over whole texts, as tokens with the end: lanes read texts one after another; gradients go back
@@ -215,33 +238,42 @@ class Gru:
                 own = self.step(x[t], before[t], (a[t], zr[t], n[t], after[t]))
             state[:, live] = own
             grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-            flat = after.transpose(0, 2, 1).reshape(-1, h)
+            columns = after.transpose(1, 0, 2).reshape(h, -1)
             want = tok.ravel()
             there = want >= 0
             if there.all():
-                back = self.output(flat, want, grads)[1]
+                back = self.output(columns.T, want, grads)[1].T
             else:
-                back = np.zeros_like(flat)
-                back[there] = self.output(flat[there], want[there], grads)[1]
-            back = np.ascontiguousarray(back.reshape(len(src), -1, h).transpose(0, 2, 1))
+                back = np.zeros_like(columns)
+                back[:, there] = self.output(columns[:, there].T, want[there], grads)[1].T
+            back = np.ascontiguousarray(back.reshape(h, len(src), -1).transpose(1, 0, 2))
             a, z, r = a[:, 2 * h :], zr[:, :h], zr[:, h:]
             # what a gradient by state is multiplied by for each gate's input, and for the state's part of that
-            by_n = (1 - z) * (1 - n * n)
-            by_r = by_n * a * r * (1 - r)
-            by_z = (before - n) * z * (1 - z)
-            by_x = np.stack((by_z, by_r, by_n), axis=1)
-            by_a = np.stack((by_z, by_r, by_n * r), axis=1)
+            by_n, by_a = n * n, np.empty_like(x)
+            np.subtract(1, by_n, out=by_n)
+            rest = 1 - z
+            by_n *= rest
+            by_z, by_r, by_own = by_a[:, :h], by_a[:, h : 2 * h], by_a[:, 2 * h :]
+            rest *= z
+            np.subtract(before, n, out=by_z)
+            by_z *= rest
+            np.multiply(by_n, r, out=by_own)
+            np.subtract(1, r, out=rest)
+            rest *= a
+            np.multiply(by_own, rest, out=by_r)
             z *= goes_on[:, None]
             carried = np.zeros_like(own)
             for t in reversed(range(len(src))):
                 back[t] += carried
-                carried = p["u"] @ (by_a[t] * back[t]).reshape(3 * h, -1)
+                gates = by_a[t].reshape(3, h, -1)
+                gates *= back[t]
+                carried = p["u"] @ by_a[t]
                 carried *= goes_on[t]
                 carried += back[t] * z[t]
-            columns = lambda v: v.transpose(1, 0, 2).reshape(v.shape[1], -1)
-            grads["u"] += columns(before) @ columns((by_a * back[:, None]).reshape(len(src), 3 * h, -1)).T
+            grads["u"] += np.matmul(before, by_a.transpose(0, 2, 1)).sum(axis=0)
+            np.multiply(by_n, back, out=by_own)
             by = np.argsort(read.astype(np.int16), kind="stable")
-            dx = (by_x * back[:, None]).reshape(len(src), 3 * h, -1).transpose(0, 2, 1).reshape(-1, 3 * h)
+            dx = by_a.transpose(0, 2, 1).reshape(-1, 3 * h)
             read, dx = read[by], dx[by]
             edge = np.flatnonzero(np.diff(read, prepend=-1))
             read, dx = read[edge], np.add.reduceat(dx, edge, axis=0)  # other rows have no gradient
@@ -265,21 +297,24 @@ class Gru:
             flat = np.concatenate([texts[i] for i in order])
             first = np.cumsum(size) - size
             state, steps = np.zeros((self.hidden, len(order)), np.float32), int(size[0])
+            a, zr, n = (np.empty((k * self.hidden, len(order)), self.p["x"].dtype) for k in (3, 2, 1))
+            sums = np.zeros(len(order))
             for s in range(0, steps, window):
-                states, spans = [], []
-                for t in range(s, min(s + window, steps)):
-                    spans.append(int(np.searchsorted(-size, -t, "left")))  # texts longer than t
-                at = [first[:n] + t for t, n in enumerate(spans, s)]
-                source = flat[np.concatenate(at) - 1]
+                spans = [int(np.searchsorted(-size, -t, "left")) for t in range(s, min(s + window, steps))]  # texts longer than t
+                at = np.concatenate([first[:k] + t for t, k in enumerate(spans, s)])
+                source = flat[at - 1]
                 if not s:
                     source[: spans[0]] = end
-                x, i = np.ascontiguousarray(self.p["x"][source].T), 0
-                for n in spans:
-                    state = self.step(x[:, i : i + n], state[:, :n])
-                    states.append(state)
-                    i += n
-                got, _ = self.output(np.concatenate(states, axis=1).T, flat[np.concatenate(at)])
-                out += np.bincount(np.concatenate([order[:n] for n in spans]), weights=got, minlength=len(texts))
+                x, i = self.p["x"][source], 0
+                states = np.empty((self.hidden, len(at)), x.dtype)
+                for k in spans:
+                    state = self.step(np.ascontiguousarray(x[i : i + k].T), state[:, :k], (a[:, :k], zr[:, :k], n[:, :k], states[:, i : i + k]))
+                    i += k
+                got, i = self.output(states.T, flat[at])[0], 0
+                for k in spans:
+                    sums[:k] += got[i : i + k]
+                    i += k
+            out[order] = sums
         return out
 
     def flat(self) -> np.ndarray:
@@ -430,9 +465,21 @@ def _scored(docs: DataFrame, voc: Vocabulary, model: Gru) -> DataFrame:
     def run(batches):
         voc, model = given.value
         log_count = np.log10(voc.count + 1)
+        held, texts, waiting = [], [], 0
+
+        def ended():
+            got, i = model.score(texts, voc.end) / math.log(10), 0
+            for columns in held:
+                n = len(columns[0])
+                columns[names.index("score")] = pa.array(columns[names.index("score")] + got[i : i + n])
+                i += n
+                yield pa.RecordBatch.from_arrays(columns, names)
+            held.clear()
+            texts.clear()
+
         for b in batches:
             raw = utf8(b.column(3))
-            texts, base, score, known, rare = [], [], [], [], []
+            sizes, base, score, known, rare = [], [], [], [], []
             for t in raw:
                 words = words_of(t)
                 words.append(END)
@@ -442,12 +489,18 @@ def _scored(docs: DataFrame, voc: Vocabulary, model: Gru) -> DataFrame:
                 score.append(voc.within[there].sum())
                 known.append(int((voc.count[there] > 0).sum()))
                 rare.append(Counter(words[i] for i in np.flatnonzero(number < 0).tolist()))
-                texts.append(token)
-            score = np.array(score) + model.score(texts, voc.end) / math.log(10)
+                texts.append(token.astype(np.int32))
+                sizes.append(len(token))
             ends = np.cumsum([0] + [len(c) for c in rare])
-            columns = [b.column(0), b.column(1), b.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array([sum(c.values()) for c in rare], pa.int64())]
+            columns = [c.take(pa.array(range(len(c)))) for c in b.columns[:3]]  # without the batch that holds them
+            columns += [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), np.array(score), pa.array([sum(c.values()) for c in rare], pa.int64())]
             columns += [list_array(pa.array([w for c in rare for w in c], pa.binary()), ends), list_array(pa.array([n for c in rare for n in c.values()], pa.int32()), ends)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            held.append(columns)
+            waiting += sum(map(len, raw))
+            if waiting >= TOGETHER:
+                yield from ended()
+                waiting = 0
+        yield from ended()
 
     return docs.select("id", "key", "held_out", "text").mapInArrow(task(run), _SCORED.format(kind))
 
