@@ -102,23 +102,28 @@ def test_long_texts_of_several_batches_are_scored_side_by_side(monkeypatch):
     rng = np.random.default_rng(5)
     texts = [[b" ".join(b"w%d" % k for k in rng.integers(0, 90, n)) for n in (400 - b, 3, 0, 20)] for b in range(5)]
     voc, g = model()
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(4 * b, 4 * b + 4)), pa.array([b"k"] * 4), pa.array([False] * 4), pa.array([t.decode() for t in own])], ["id", "key", "held_out", "text"]) for b, own in enumerate(texts)]
+    read = [[voc.read([*G.words_of(t), G.END]) for t in own] for own in texts]
+    within = [[voc.within[number[number >= 0]].sum() for number, _ in own] for own in read]
+    batches = []
+    for b, own in enumerate(read):
+        columns = [range(4 * b, 4 * b + 4), [b"k"] * 4, [False] * 4, [len(x) for _, x in own], [0] * 4, [0.0] * 4, within[b], [0] * 4, [x.astype(voc.kind).tobytes() for _, x in own]]
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*G._SCORED, "tokens"]))
     steps, step = [], g.step
     monkeypatch.setattr(g, "step", lambda *a: steps.append(1) or step(*a))
 
     class Docs:
         """What a Spark table would hand to one worker."""
 
-        schema, sparkSession = {"id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))}, property(lambda self: self)
+        schema = [SimpleNamespace(name=c, dataType=SimpleNamespace(simpleString=lambda: "long")) for c in G._SCORED]
+        sparkSession = property(lambda self: self)
         sparkContext, broadcast = sparkSession, lambda self, value: SimpleNamespace(value=value)
         select, mapInArrow = lambda self, *names: self, lambda self, run, schema: list(run(iter(batches)))
 
     got = [r for b in G._scored(Docs(), voc, g) for r in b.to_pylist()]
     assert [r["id"] for r in got] == list(range(20)) and len(steps) < 600
-    for r, t in zip(got, (t for own in texts for t in own), strict=True):
-        number, token = voc.read([*G.words_of(t), G.END])
-        assert r["n_tokens"] == len(token) and r["n_rare"] == (number < 0).sum()
-        assert math.isclose(r["score"], voc.within[number[number >= 0]].sum() + g.score([token], voc.end)[0] / math.log(10), rel_tol=1e-6)
+    for r, (_, token), known in zip(got, sum(read, []), sum(within, []), strict=True):
+        assert r["n_tokens"] == len(token)
+        assert math.isclose(r["score"], known + g.score([token], voc.end)[0] / math.log(10), rel_tol=1e-6)
 
 
 def test_gradients(monkeypatch):

@@ -26,8 +26,8 @@ REPLICA, ROUNDS, BLOCK = 6_000_000, 3, 8192
 BEYOND = 1.5
 #: Steps that gradients go back, texts side by side at most and at least, tokens for each of them, and tokens that they are dealt from.
 WINDOW, LANES, FEW, LANE, DEALT = 16, 256, 32, 8192, 3_000_000
-#: Texts that are scored side by side, and bytes of text that they are chosen from, so that few long ones seldom run alone.
-SIDE, TOGETHER = 512, 1 << 25
+#: Texts that are scored side by side, and bytes of their tokens that they are chosen from, so that few long ones seldom run alone.
+SIDE, TOGETHER = 512, 1 << 23
 #: Tokens whose classes are computed at once, so that their numbers stay in a processor's cache.
 COLUMNS = 512
 RATE = 0.2
@@ -62,6 +62,7 @@ class Vocabulary:
         #: token of each known word: its number in the head, or the size of all head classes and its tail class
         self.token = np.where(tail < 0, np.arange(len(order)), self.classes * CLASS + tail)
         self.inputs = self.classes * CLASS + TAIL
+        self.kind = np.int16 if self.inputs < 1 << 15 else np.int32
         self.tokens, self.distinct = tokens, distinct
         self.tail_log = np.log10(np.maximum(tail_tokens + tail_words + 1, 1))
         #: log10 of the corpus share within its tail class; 0 in the head
@@ -397,10 +398,45 @@ def _combined(parts: DataFrame, by: str, partitions: int) -> DataFrame:
 _PART = "replica int, block int, tokens long, values binary"
 
 
+_READ = "id {}, key binary, held_out boolean, deal long, n_tokens long, n_known long, base double, score double, n_rare long, tokens binary, words array<binary>, times array<int>"
+
+
+def _read(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """_READ for every row: what the known words give, the rare words that are still to be looked up, and the text as tokens,
+    numbers of type `voc.kind`. deal: how training texts are dealt, rows of one text by their ids."""
+    kind = docs.schema["id"].dataType.simpleString()
+    given = docs.sparkSession.sparkContext.broadcast(voc)
+    names = [x.split()[0] for x in _READ.split(", ")]
+
+    def run(batches):
+        voc = given.value
+        log_count = np.log10(voc.count + 1)
+        for b in batches:
+            sizes, base, score, known, rare, tokens = [], [], [], [], [], []
+            for t in utf8(b.column(4)):
+                words = words_of(t)
+                words.append(END)
+                number, token = voc.read(words)
+                there = number[number >= 0]
+                base.append(log_count[there].sum())
+                score.append(voc.within[there].sum())
+                known.append(int((voc.count[there] > 0).sum()))
+                rare.append(Counter(words[i] for i in np.flatnonzero(number < 0).tolist()))
+                sizes.append(len(token))
+                tokens.append(token.astype(voc.kind).tobytes())
+            ends = np.cumsum([0] + [len(c) for c in rare])
+            columns = [*b.columns[:4], pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array([sum(c.values()) for c in rare], pa.int64()), pa.array(tokens, pa.binary())]
+            columns += [list_array(pa.array([w for c in rare for w in c], pa.binary()), ends), list_array(pa.array([n for c in rare for n in c.values()], pa.int32()), ends)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    deal = F.xxhash64("text", F.col("id").cast("string"), F.lit("replica"))
+    return docs.select("id", "key", "held_out", deal.alias("deal"), "text").mapInArrow(task(run), _READ.format(kind))
+
+
 def fitted(docs: DataFrame, voc: Vocabulary) -> Gru:
     """The model after one pass over all training texts: replicas learn from their own rows side by side, a part of them in each of
     ROUNDS rounds, and after each their weights' steps are averaged by tokens, lengthened by BEYOND, and all go on from there. One replica alone needs one round.
-    Rows of one text are dealt by their ids."""
+    docs: rows of `_read`, or of `_docs`, which are then read in each round."""
     model = Gru(voc.classes, (voc.head_mass, voc.tail_mass))
     if not voc.tokens:
         return model
@@ -408,9 +444,9 @@ def fitted(docs: DataFrame, voc: Vocabulary) -> Gru:
     replicas = max(1, round(voc.tokens / REPLICA))
     rounds = ROUNDS if replicas > 1 else 1
     given = spark.sparkContext.broadcast(voc)
-    deal = F.xxhash64("text", F.col("id").cast("string"), F.lit("replica"))
-    texts = docs.where(~F.col("held_out")).select("text", deal.alias("deal"))
-    texts = texts.select("text", "deal", F.pmod(F.xxhash64("deal"), F.lit(replicas)).cast("int").alias("replica"), F.pmod("deal", F.lit(rounds)).alias("round"))
+    read = docs if "tokens" in docs.columns else _read(docs, voc)
+    texts = read.where(~F.col("held_out")).select("tokens", "deal")
+    texts = texts.select("tokens", "deal", F.pmod(F.xxhash64("deal"), F.lit(replicas)).cast("int").alias("replica"), F.pmod("deal", F.lit(rounds)).alias("round"))
     for n in range(rounds):
         start = spark.sparkContext.broadcast(model.flat())
 
@@ -428,12 +464,12 @@ def fitted(docs: DataFrame, voc: Vocabulary) -> Gru:
                 own, tokens, held, waiting = None, 0, [], 0
 
             for b in batches:
-                for t, r in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+                for t, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if r != replica:
                         yield from ended()
                         own, replica = Gru(voc.classes, (voc.head_mass, voc.tail_mass)), r
                         own.set(start.value)
-                    held.append(voc.read(words_of(t) + [END])[1])
+                    held.append(np.frombuffer(t, voc.kind))
                     waiting += len(held[-1])
                     if waiting >= DEALT:
                         tokens += own.learn(held, voc.end)
@@ -441,7 +477,7 @@ def fitted(docs: DataFrame, voc: Vocabulary) -> Gru:
             yield from ended()
 
         part = texts.where(F.col("round") == n).repartitionById(replicas, F.col("replica")).sortWithinPartitions("replica", "deal")
-        parts = part.select("text", "replica").mapInArrow(task(run), _PART)
+        parts = part.select("tokens", "replica").mapInArrow(task(run), _PART)
         sums = _combined(_combined(parts, "replica", math.ceil(math.sqrt(replicas))), "block", 8).collect()
         if sums:
             mean = np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(sums, key=lambda r: r.block)])
@@ -453,56 +489,39 @@ def fitted(docs: DataFrame, voc: Vocabulary) -> Gru:
     return model
 
 
-_SCORED = "id {}, key binary, held_out boolean, n_tokens long, n_known long, base double, score double, n_rare long, words array<binary>, times array<int>"
+_SCORED = ("id", "key", "held_out", "n_tokens", "n_known", "base", "score", "n_rare")
 
 
-def _scored(docs: DataFrame, voc: Vocabulary, model: Gru) -> DataFrame:
-    """_SCORED for every row: what the known words and the network give, and the rare words that are still to be looked up."""
-    kind = docs.schema["id"].dataType.simpleString()
-    given = docs.sparkSession.sparkContext.broadcast((voc, model))
-    names = [x.split()[0] for x in _SCORED.split(", ")]
+def _scored(read: DataFrame, voc: Vocabulary, model: Gru) -> DataFrame:
+    """_SCORED for every row of `_read`: score has what the network gives, too."""
+    given = read.sparkSession.sparkContext.broadcast((model, voc.end, voc.kind))
 
     def run(batches):
-        voc, model = given.value
-        log_count = np.log10(voc.count + 1)
+        model, end, kind = given.value
         held, texts, waiting = [], [], 0
 
         def ended():
-            got, i = model.score(texts, voc.end) / math.log(10), 0
+            got, i = model.score(texts, end) / math.log(10), 0
+            at = _SCORED.index("score")
             for columns in held:
-                n = len(columns[0])
-                columns[names.index("score")] = pa.array(columns[names.index("score")] + got[i : i + n])
+                n = len(columns[at])
+                columns[at] = pa.array(columns[at].to_numpy() + got[i : i + n])
                 i += n
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, list(_SCORED))
             held.clear()
             texts.clear()
 
         for b in batches:
-            raw = utf8(b.column(3))
-            sizes, base, score, known, rare = [], [], [], [], []
-            for t in raw:
-                words = words_of(t)
-                words.append(END)
-                number, token = voc.read(words)
-                there = number[number >= 0]
-                base.append(log_count[there].sum())
-                score.append(voc.within[there].sum())
-                known.append(int((voc.count[there] > 0).sum()))
-                rare.append(Counter(words[i] for i in np.flatnonzero(number < 0).tolist()))
-                texts.append(token.astype(np.int32))
-                sizes.append(len(token))
-            ends = np.cumsum([0] + [len(c) for c in rare])
-            columns = [c.take(pa.array(range(len(c)))) for c in b.columns[:3]]  # without the batch that holds them
-            columns += [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), np.array(score), pa.array([sum(c.values()) for c in rare], pa.int64())]
-            columns += [list_array(pa.array([w for c in rare for w in c], pa.binary()), ends), list_array(pa.array([n for c in rare for n in c.values()], pa.int32()), ends)]
-            held.append(columns)
-            waiting += sum(map(len, raw))
+            held.append([c.take(pa.array(range(len(c)))) for c in b.columns[:-1]])  # without the batch that holds them
+            texts.extend(np.frombuffer(t, kind) for t in b.column(len(_SCORED)).to_pylist())
+            waiting += b.column(len(_SCORED)).nbytes
             if waiting >= TOGETHER:
                 yield from ended()
                 waiting = 0
         yield from ended()
 
-    return docs.select("id", "key", "held_out", "text").mapInArrow(task(run), _SCORED.format(kind))
+    kinds = {f.name: f.dataType.simpleString() for f in read.schema}
+    return read.select(*_SCORED, "tokens").mapInArrow(task(run), ", ".join(f"{c} {kinds[c]}" for c in _SCORED))
 
 
 def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, known: int = KNOWN, head: int = HEAD) -> DataFrame:
@@ -519,10 +538,9 @@ def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = _docs(df, id_col, text_col, folds, held_out)
     counts = staged(token_counts(docs.where(~F.col("held_out"))), "counts")
     voc = vocabulary(counts, known, head)
-    model = fitted(docs, voc)
-    rows = staged(_scored(small_batches(docs, 2000), voc, model), "scored")  # texts of a batch run side by side
-    small_batches(docs)
-    rare = rows.where("n_rare > 0").select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    read = staged(_read(docs, voc), "read")
+    rows = staged(_scored(read, voc, fitted(read, voc)), "scored")
+    rare = read.where("n_rare > 0").select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     rare = rare.join(counts, "word", "left")
     logs = F.array(*(F.lit(float(x)) for x in voc.tail_log))
     share_log = F.log10(F.coalesce("c", F.lit(0)) + 1)
@@ -532,7 +550,7 @@ def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     # texts that rows repeat are in the sums as often
     own = F.coalesce(F.col("n_rare") / F.col("all"), F.lit(0.0))
-    both = rows.drop("words", "times").join(sums, "key", "left")
+    both = rows.join(sums, "key", "left")
     return both.select(
         "id", "held_out", "n_tokens",
         (F.col("n_known") + F.round(F.coalesce(F.col("seen") * own, F.lit(0.0))).cast("long")).alias("n_known"),
